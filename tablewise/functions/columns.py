@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,8 +79,11 @@ def as_text(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("string")
 
 
-def half_up(c: Column, digits: int) -> Column:
-    return F.round(c, digits)
+def half_up(x: float | None, digits: int) -> float | None:
+    """Round a finished number exactly as the SQL ``round`` does: half away from zero."""
+    if x is None or not math.isfinite(x):
+        return x
+    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
 
 
 def adjusted_skewness(c: Column) -> Column:
