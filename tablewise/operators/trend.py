@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,12 +160,3 @@ def trend_summary(
         "trough_value",
     )
 
-
-def span_days(df: DataFrame, date_col: str) -> float | None:
-    ts = as_timestamp(df, date_col)
-    row = df.agg(F.unix_micros(F.min(ts)).alias("a"), F.unix_micros(F.max(ts)).alias("b")).first()
-    return None if row["a"] is None else (row["b"] - row["a"]) / 86_400_000_000
-
-
-def finite(x: float | None) -> bool:
-    return x is not None and math.isfinite(x)

@@ -1,2 +1,2 @@
-from workload import profiling, sqlsurface, statistics  # noqa: F401
+from workload import evaluation, profiling, sqlsurface, statistics  # noqa: F401
 from workload.registry import ORACLES, QUERIES  # noqa: F401
