@@ -92,8 +92,17 @@ def adjusted_skewness(c: Column) -> Column:
     return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def safe_ratio(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of the pairs where both are present; NULL when either side is constant.
+
+    The built-in ``corr`` fails on a constant column under ANSI arithmetic.
+    """
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Quotient, NULL over zero."""
+    return F.try_divide(a.cast("double"), b.cast("double"))
 
 
 def word_tokens(c: Column) -> Column:

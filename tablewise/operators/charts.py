@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions.columns import as_double, missing, ref, require_columns
+from tablewise.functions.columns import as_double, missing, pearson, ref, require_columns
 
 # Fixed point limits of the chart data.
 BAR_ROWS = 200
@@ -72,6 +71,5 @@ def scatter_data(df: DataFrame, x: str, y: str, limit: int = LINE_POINTS) -> Dat
     """First points in (x, y) order with the Pearson correlation over *all* rows beside them."""
     require_columns(df, x, y)
     clean = df.where(~missing(df, x) & ~missing(df, y)).select(ref(x), ref(y))
-    r = clean.agg(F.corr(ref(x).cast("double"), ref(y).cast("double"))).first()[0]
-    r = None if r is None or math.isnan(r) else float(r)
+    r = clean.agg(pearson(ref(x).cast("double"), ref(y).cast("double"))).first()[0]
     return clean.orderBy(ref(x), ref(y)).limit(limit).withColumn("correlation", F.lit(r).cast("double"))

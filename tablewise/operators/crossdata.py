@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions.columns import as_double, as_text, kinds, missing, numeric_columns, ref, require_columns
+from tablewise.functions.columns import as_double, as_text, kinds, missing, numeric_columns, ratio, ref, require_columns
 from tablewise.plans.shape import long_form, rows_from_aggregate
 
 # Fixed limits and thresholds of the key search.
@@ -167,8 +167,9 @@ def cross_correlations(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str,
     for i, a in enumerate(num_a):
         for j, b in enumerate(num_b):
             n, x, y, xx, yy, xy = (F.col(f"{t}{i}_{j}") for t in ("n", "x", "y", "xx", "yy", "xy"))
-            top = xy - x * y / n
-            bottom = F.sqrt((xx - x * x / n) * (yy - y * y / n))
+            mean_x, mean_y = ratio(x, n), ratio(y, n)
+            top = xy - mean_x * y
+            bottom = F.sqrt(F.greatest(xx - mean_x * x, F.lit(0.0)) * F.greatest(yy - mean_y * y, F.lit(0.0)))
             structs.append(
                 F.struct(
                     F.lit(a).alias("col_a"),

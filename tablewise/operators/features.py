@@ -16,6 +16,7 @@ from tablewise.functions.columns import (
     as_text,
     kinds,
     numeric_columns,
+    pearson,
     present,
     ref,
     require_columns,
@@ -67,7 +68,7 @@ def select_features(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
     corr = {}
     for start in range(0, len(pairs), 200):
         batch = pairs[start : start + 200]
-        row = df.agg(*[F.corr(x[a], x[b]).alias(f"r{k}") for k, (a, b) in enumerate(batch)]).first()
+        row = df.agg(*[pearson(x[a], x[b]).alias(f"r{k}") for k, (a, b) in enumerate(batch)]).first()
         corr.update({p: row[f"r{k}"] for k, p in enumerate(batch)})
     std = {c: main[f"s{i}"] for i, c in enumerate(nums)}
     distinct = {c: main[f"u{i}"] for i, c in enumerate(rest)}
@@ -212,7 +213,7 @@ def detect_leakage(
         codes = row_index(levels, ["_level"], name="_code")
         rows = df.withColumn("_level", as_text(df, target_col)).join(codes, "_level", "left")
         target = F.coalesce(F.col("_code"), F.lit(-1)).cast("double")  # a missing category has code -1
-    agg = rows.agg(*[F.corr(as_double(df, c), target).alias(f"r{i}") for i, c in enumerate(nums)])
+    agg = rows.agg(*[pearson(as_double(df, c), target).alias(f"r{i}") for i, c in enumerate(nums)])
     found = agg.first() if nums else {}
     out, flagged = [], set()
     for i, c in enumerate(nums):

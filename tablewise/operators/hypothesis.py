@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions.columns import as_double, as_text, half_up, present, require_columns
+from tablewise.functions.columns import as_double, as_text, half_up, pearson, present, require_columns
 from tablewise.functions.distributions import (
     chi2_tail,
     f_tail,
@@ -349,7 +349,7 @@ def correlation_test(df: DataFrame, col_a: str, col_b: str, alpha: float = 0.05)
     flat = df.select(as_double(df, col_a).alias("a"), as_double(df, col_b).alias("b")).where(
         F.col("a").isNotNull() & F.col("b").isNotNull()
     )
-    first = flat.agg(F.count("*").alias("n"), F.corr("a", "b").alias("r")).first()
+    first = flat.agg(F.count("*").alias("n"), pearson(F.col("a"), F.col("b")).alias("r")).first()
     n = first["n"]
     if n < 3:
         raise ValueError("need at least 3 paired observations")

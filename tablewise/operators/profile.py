@@ -18,6 +18,7 @@ from tablewise.functions.columns import (
     missing,
     numeric_columns,
     present,
+    ratio,
     ref,
     require_between,
     require_columns,
@@ -99,7 +100,7 @@ def _summary(df: DataFrame, probs: dict[str, float]) -> DataFrame:
                 F.lit(i).alias("position"),
                 F.col("n_rows"),
                 F.col(f"m{i}").alias("missing"),
-                F.round(F.col(f"m{i}") / F.col("n_rows") * 100, 2).alias("missing_pct"),
+                F.round(ratio(F.col(f"m{i}"), F.col("n_rows")) * 100, 2).alias("missing_pct"),
                 (F.col(f"lo{i}") if num else _null("double")).alias("min"),
                 (F.col(f"hi{i}") if num else _null("double")).alias("max"),
                 (F.col(f"av{i}") if num else _null("double")).alias("mean"),
@@ -194,7 +195,7 @@ def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None, top: i
         "rank",
         "value",
         "count",
-        F.round(F.col("count") / F.col("_total") * 100, 2).alias("pct"),
+        F.round(ratio(F.col("count"), F.col("_total")) * 100, 2).alias("pct"),
     )
 
 
@@ -224,7 +225,7 @@ def profile_findings(df: DataFrame, sample: float | None = None) -> DataFrame:
     return _findings(
         rows,
         [
-            ("mostly_missing", F.col("missing") / n >= HIGH_MISSING, F.col("missing_pct")),
+            ("mostly_missing", ratio(F.col("missing"), n) >= HIGH_MISSING, F.col("missing_pct")),
             ("identifier_like", is_id, unique.cast("double")),
             ("constant", ~is_id & (unique <= 1) & (n > 1), unique.cast("double")),
             ("highly_skewed", F.abs("skewness") >= HIGH_SKEW, F.col("skewness")),
@@ -250,10 +251,10 @@ def _quality_findings(df: DataFrame) -> DataFrame:
         [
             (
                 "high_cardinality",
-                categorical & (n > 0) & (F.col("unique") / n >= HIGH_CARDINALITY),
+                categorical & (n > 0) & (ratio(F.col("unique"), n) >= HIGH_CARDINALITY),
                 F.col("unique").cast("double"),
             ),
-            ("mostly_missing", F.col("missing") / n >= HIGH_MISSING, F.col("missing_pct")),
+            ("mostly_missing", ratio(F.col("missing"), n) >= HIGH_MISSING, F.col("missing_pct")),
             ("highly_skewed", F.abs("skewness") >= HIGH_SKEW, F.col("skewness")),
         ],
     )
@@ -329,7 +330,7 @@ def zscore_outlier_count(df: DataFrame, cols: Sequence[str] | None = None) -> Da
 def column_hints(df: DataFrame) -> DataFrame:
     """Short description of each column: missing share, numeric range or the three top values."""
     rows = _summary(df, DESCRIBE_PROBS).select(
-        "name", "dtype", F.round(F.col("missing") / F.col("n_rows") * 100, 3).alias("missing_pct"), "min", "max"
+        "name", "dtype", F.round(ratio(F.col("missing"), F.col("n_rows")) * 100, 3).alias("missing_pct"), "min", "max"
     )
     text = [c for c, k in kinds(df).items() if k in ("categorical", "boolean")]
     if not text:

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions.columns import as_double, as_text, kinds, numeric_columns, present, ref, require_columns
+from tablewise.functions.columns import as_double, as_text, kinds, numeric_columns, pearson, present, ref, require_columns
 from tablewise.plans.shape import long_form, rows_from_aggregate
 
 # Fixed limits and thresholds.
@@ -37,7 +37,7 @@ def correlation_pairs(df: DataFrame, numeric_cols: Sequence[str] | None = None,
         batch = pairs[start : start + PAIRS_PER_AGGREGATE]
         parts = [F.count(F.lit(1)).alias("n")]
         for k, (a, b) in enumerate(batch):
-            parts.append(F.corr(value[a], value[b]).alias(f"r{k}"))
+            parts.append(pearson(value[a], value[b]).alias(f"r{k}"))
             parts.append(F.count_if(value[a].isNotNull() & value[b].isNotNull()).alias(f"p{k}"))
         rows = rows_from_aggregate(
             df.agg(*parts),

@@ -218,7 +218,7 @@ def _(t):
 @query(
     "actual_vs_predicted_points",
     _FORECAST
-    + """, o AS (SELECT row_number() OVER (ORDER BY row_key) - 1 AS point, row_key AS key, actual, prediction FROM t), z AS (SELECT count(*) - 1 AS k FROM t)
+    + """, o AS (SELECT row_number() OVER (ORDER BY row_key, actual, prediction) - 1 AS point, row_key AS key, actual, prediction FROM t), z AS (SELECT count(*) - 1 AS k FROM t)
     SELECT * FROM o WHERE point IN (SELECT (j * k) // 199 FROM (SELECT unnest(range(200)) AS j), z)""",
 )
 def _(t):
