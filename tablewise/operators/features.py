@@ -437,7 +437,7 @@ def interaction_features(df: DataFrame, numeric_cols: Sequence[str]) -> DataFram
     return df.withColumns({f"{r['left']} {r['right']}": _scaled(df, scale[r["left"]]) * _scaled(df, scale[r["right"]]) for r in kept})
 
 
-def text_vectors(df: DataFrame, col: str, dims: int = 64, features: int = 1 << 14, name: str | None = None):
+def text_vectors(df: DataFrame, col: str, dims: int = 64, features: int = 1 << 10, name: str | None = None):
     """Fitted pipeline from text to ``dims`` dense numbers: hashed term weights, then projection.
 
     Returns a ``PipelineModel``; the sparse random-free projection is the leading principal

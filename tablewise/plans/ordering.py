@@ -80,29 +80,6 @@ def row_index(
     )
 
 
-def carry_forward(
-    df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], name: str
-) -> DataFrame:
-    """Latest non-null ``value`` strictly before each row of its group."""
-    sliced = _sliced(df, order, by)
-    last = F.max_by(ref(value), F.when(ref(value).isNotNull(), F.struct(*[ref(o) for o in order])))
-    per_slice = sliced.groupBy(*[ref(b) for b in by], SLICE).agg(last.alias("_l"))
-    earlier = Window.partitionBy(*[ref(b) for b in by]).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *[ref(b) for b in by], SLICE, F.last("_l", ignorenulls=True).over(earlier).alias("_o")
-    )
-    local = (
-        Window.partitionBy(*[ref(b) for b in by], SLICE)
-        .orderBy(*[ref(o) for o in order])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    out = _with_offsets(sliced, offsets, by)
-    return out.select(
-        *[ref(c) for c in df.columns],
-        F.coalesce(F.last(ref(value), ignorenulls=True).over(local), F.col("_o")).alias(name),
-    )
-
-
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weights: Sequence[str] = ()) -> DataFrame:
     """Ranks of the distinct non-null values: ``by..., value, n, n_before, avg_rank, min_rank``.
 
