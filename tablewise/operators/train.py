@@ -421,21 +421,28 @@ def cross_validate(
     }
 
 
-def auto_select_model(df: DataFrame, target: str, roles: dict[str, str], task: str, key: Sequence[str], labels: Sequence[str] = (), log_target: bool = False) -> str:
-    """Best of the candidate families by three-fold score; text inputs are left out of the race."""
+def auto_select_model(
+    df: DataFrame, target: str, roles: dict[str, str], task: str, key: Sequence[str], labels: Sequence[str] = (),
+    log_target: bool = False, params: dict | None = None,
+) -> str:
+    """Best of the candidate families by three-fold score; text inputs are left out of the race.
+
+    ``params`` (trees, depth, ...) sets the size of the tree models in the race.
+    """
     usable = {c: r for c, r in roles.items() if r != "text"}
     scores = {
-        m: cross_validate(df, target, usable, task, m, key, AUTO_FOLDS, labels, log_target=log_target)["mean"] for m in AUTO[task]
+        m: cross_validate(df, target, usable, task, m, key, AUTO_FOLDS, labels, log_target=log_target, params=params)["mean"]
+        for m in AUTO[task]
     }
     return max(scores, key=lambda m: scores[m])
 
 
 def tune(
     df: DataFrame, target: str, roles: dict[str, str], task: str, model_type: str, key: Sequence[str], labels: Sequence[str] = (),
-    log_target: bool = False, draws: int = TUNE_DRAWS,
+    log_target: bool = False, draws: int = TUNE_DRAWS, grid: dict | None = None,
 ) -> dict | None:
     """Best of a random draw of parameter settings over three folds; None for untuned models."""
-    grid = GRIDS.get(resolve_model_type(model_type))
+    grid = grid or GRIDS.get(resolve_model_type(model_type))
     if not grid:
         return None
     rng = np.random.default_rng(SEED)
@@ -509,6 +516,9 @@ def train_supervised_model(
     require_columns(df, target_col, *key)
     rows = df.where(as_text(df, target_col).isNotNull())
     chosen = [c for c in (feature_cols or df.columns) if c not in (target_col, *key)]
+    # Some twenty aggregates read these columns; lost partitions are recomputed.
+    narrow = rows.select(*[ref(c) for c in dict.fromkeys([*key, *lag_series, target_col, *chosen])]).persist()
+    rows = narrow
     ids = {r["column"] for r in features.looks_like_id(rows, [c for c in chosen if kinds(df)[c] == "numeric"]).where("is_id").collect()}
     chosen = [c for c in chosen if c not in ids]
     task = features.infer_task_type(rows, target_col, task_hint)
@@ -566,6 +576,7 @@ def train_supervised_model(
     model.training_stats = [r.asDict(recursive=True) for r in stats.collect()]
     model.fingerprint = [r.asDict() for r in drift.fingerprint(train, list(roles)).collect()]
     marked.unpersist()
+    narrow.unpersist()
     return model
 
 
