@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tablewise.functions.columns import as_double, ratio, ref, require_between, require_columns
 from tablewise.plans.ordering import value_ranks
 from tablewise.plans.quantiles import quantile_values
-from tablewise.plans.shape import long_form, rows_from_aggregate, steady
+from tablewise.plans.shape import long_form, rows_from_aggregate, spread, steady
 
 # Fixed parameters of the forest and the report.
 TREES, TREE_ROWS = 300, 256
@@ -34,12 +34,6 @@ def complete_rows(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> Dat
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core before per-row Python work."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _path_length(n: np.ndarray) -> np.ndarray:
     """Mean depth of an unsuccessful search in a random binary tree of n rows."""
     n = np.asarray(n, dtype="float64")

@@ -23,8 +23,8 @@ from tablewise.functions.columns import (
     require_between,
     require_columns,
 )
-from tablewise.plans.quantiles import exact_quantiles, percentile_expr
-from tablewise.plans.shape import fits_in_memory, long_form, rows_from_aggregate
+from tablewise.plans.quantiles import exact_quantiles
+from tablewise.plans.shape import fits_in_memory, is_plain_scan, long_form, rows_from_aggregate, spread
 
 # Fixed thresholds that findings must share with the tool they replace.
 HIGH_MISSING = 0.5
@@ -33,6 +33,11 @@ HIGH_CARDINALITY = 0.9
 TOP_VALUES = 5
 OUTLIER_Z = 3.0
 
+SUMMARY_FIELDS = {
+    "min": "DOUBLE", "max": "DOUBLE", "mean": "DOUBLE", "std": "DOUBLE", "skewness": "DOUBLE", "_q": "ARRAY<DOUBLE>",
+    "min_time": "STRING", "max_time": "STRING", "range_days": "DOUBLE", "true_count": "BIGINT", "false_count": "BIGINT",
+}
+
 PROFILE_PROBS = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
 QUALITY_PROBS = {**PROFILE_PROBS, "p99": 0.99}
 DESCRIBE_PROBS = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
@@ -51,14 +56,22 @@ def _iso(c: Column) -> Column:
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """``name, unique``: exact distinct non-missing values per column, one pass."""
+    """``name, unique``: exact distinct non-missing values per column.
+
+    A plain scan is read one column at a time, so every row that is hashed and shuffled holds
+    one value. Anything else is computed once, its rows expanded by column.
+    """
     names = df.columns
     texts = {T.ArrayType, T.MapType, T.StructType, T.VariantType}
-    parts = []
-    for i, c in enumerate(names):
-        value = as_text(df, c) if type(df.schema[c].dataType) in texts else present(df, c)
-        parts.append(F.count_distinct(value).alias(f"u{i}"))
-    agg = df.agg(*parts)
+    values = [as_text(df, c) if type(df.schema[c].dataType) in texts else present(df, c) for c in names]
+    if is_plain_scan(df):
+        out = None
+        for c, value in zip(names, values):
+            one = df.select(value.alias("v")).where("v IS NOT NULL").distinct().agg(F.count("v").alias("unique"))
+            one = one.select(F.lit(c).alias("name"), "unique")
+            out = one if out is None else out.unionByName(one)
+        return out
+    agg = df.agg(*[F.count_distinct(value).alias(f"u{i}") for i, value in enumerate(values)])
     return rows_from_aggregate(
         agg, [F.struct(F.lit(c).alias("name"), F.col(f"u{i}").alias("unique")) for i, c in enumerate(names)]
     )
@@ -69,52 +82,45 @@ def _summary(df: DataFrame, probs: dict[str, float]) -> DataFrame:
     ks = kinds(df)
     numeric = numeric_columns(df)
     inline = fits_in_memory(df)
-    parts = [F.count(F.lit(1)).alias("n_rows")]
+    # Short names first, then SQL text: one parse per statistic instead of many Column calls.
+    values = {c: as_double(df, c) if ks[c] == "numeric" else present(df, c) for c in df.columns}
+    narrow = df.select(*[v.alias(f"x{i}") if ks[c] != "categorical" else v.isNotNull().alias(f"x{i}") for i, (c, v) in enumerate(values.items())])
+    if inline and numeric:
+        narrow = spread(narrow)
+    points = ", ".join(f"{p!r}D" for p in probs.values())
+    parts, structs = ["count(1) AS n_rows"], []
     for i, c in enumerate(df.columns):
-        value, kind = present(df, c), ks[c]
-        parts.append(F.count_if(missing(df, c)).alias(f"m{i}"))
+        kind, x = ks[c], f"x{i}"
+        parts.append(f"count_if(NOT {x}) AS m{i}" if kind == "categorical" else f"count_if({x} IS NULL) AS m{i}")
+        stats = {n: f"CAST(NULL AS {t})" for n, t in SUMMARY_FIELDS.items()}
         if kind == "numeric":
-            x = as_double(df, c)
+            n = f"CAST(count({x}) AS DOUBLE)"
             parts += [
-                F.min(x).alias(f"lo{i}"),
-                F.max(x).alias(f"hi{i}"),
-                F.avg(x).alias(f"av{i}"),
-                F.stddev_samp(x).alias(f"sd{i}"),
-                adjusted_skewness(x).alias(f"sk{i}"),
-            ]
+                f"min({x}) AS lo{i}", f"max({x}) AS hi{i}", f"avg({x}) AS av{i}", f"stddev_samp({x}) AS sd{i}",
+                f"CASE WHEN {n} > 2 THEN skewness({x}) * sqrt({n} * ({n} - 1)) / ({n} - 2) END AS sk{i}",
+            ]
+            stats.update({"min": f"lo{i}", "max": f"hi{i}", "mean": f"av{i}", "std": f"sd{i}", "skewness": f"sk{i}"})
             if inline:
-                parts.append(percentile_expr(x, list(probs.values())).alias(f"q{i}"))
+                parts.append(f"percentile({x}, array({points})) AS q{i}")
+                stats["_q"] = f"q{i}"
         elif kind == "datetime":
-            parts += [F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
+            parts += [f"min({x}) AS lo{i}", f"max({x}) AS hi{i}"]
+            lo, hi = f"CAST(lo{i} AS TIMESTAMP)", f"CAST(hi{i} AS TIMESTAMP)"
+            iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+            stats.update(
+                {"min_time": iso.format(lo), "max_time": iso.format(hi), "range_days": f"(unix_micros({hi}) - unix_micros({lo})) / 86400000000D"}
+            )
         elif kind == "boolean":
-            parts += [F.count_if(value).alias(f"t{i}"), F.count_if(~value).alias(f"f{i}")]
-    structs = []
-    for i, c in enumerate(df.columns):
-        kind = ks[c]
-        num, when_, flag = kind == "numeric", kind == "datetime", kind == "boolean"
+            parts += [f"count_if({x}) AS t{i}", f"count_if(NOT {x}) AS f{i}"]
+            stats.update({"true_count": f"t{i}", "false_count": f"f{i}"})
+        body = ", ".join(f"{e} AS {n}" for n, e in stats.items())
         structs.append(
-            F.struct(
-                F.lit(c).alias("name"),
-                F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                F.lit(kind).alias("kind"),
-                F.lit(i).alias("position"),
-                F.col("n_rows"),
-                F.col(f"m{i}").alias("missing"),
-                F.round(ratio(F.col(f"m{i}"), F.col("n_rows")) * 100, 2).alias("missing_pct"),
-                (F.col(f"lo{i}") if num else _null("double")).alias("min"),
-                (F.col(f"hi{i}") if num else _null("double")).alias("max"),
-                (F.col(f"av{i}") if num else _null("double")).alias("mean"),
-                (F.col(f"sd{i}") if num else _null("double")).alias("std"),
-                (F.col(f"sk{i}") if num else _null("double")).alias("skewness"),
-                (F.col(f"q{i}") if num and inline else _null("array<double>")).alias("_q"),
-                (_iso(F.col(f"lo{i}")) if when_ else _null("string")).alias("min_time"),
-                (_iso(F.col(f"hi{i}")) if when_ else _null("string")).alias("max_time"),
-                (_span_days(F.col(f"lo{i}"), F.col(f"hi{i}")) if when_ else _null("double")).alias("range_days"),
-                (F.col(f"t{i}") if flag else _null("bigint")).alias("true_count"),
-                (F.col(f"f{i}") if flag else _null("bigint")).alias("false_count"),
-            )
+            f"struct({i} AS position, n_rows, m{i} AS missing, round(try_divide(m{i}, n_rows) * 100, 2) AS missing_pct, {body})"
         )
-    rows = rows_from_aggregate(df.agg(*parts), structs)
+    cells = narrow.agg(*[F.expr(p) for p in parts]).select(F.expr(f"explode(array({', '.join(structs)}))").alias("_r")).select("_r.*")
+    labels = [(i, c, df.schema[c].dataType.simpleString(), ks[c]) for i, c in enumerate(df.columns)]
+    names = df.sparkSession.createDataFrame(labels, "position int, name string, dtype string, kind string")
+    rows = cells.join(F.broadcast(names), "position")  # one row per column
     if not inline and numeric:
         quantiles = exact_quantiles(df, numeric, list(probs.values())).withColumnRenamed("column", "name")
         rows = rows.drop("_q").join(F.broadcast(quantiles.withColumnRenamed("quantiles", "_q")), "name", "left")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.functions.columns import as_double, as_text, kinds, numeric_columns, pearson, present, ref, require_columns
-from tablewise.plans.shape import long_form, rows_from_aggregate
+from tablewise.functions.columns import as_double, as_text, kinds, numeric_columns, present, ref, require_columns
+from tablewise.plans.shape import long_form
 
 # Fixed limits and thresholds.
 MAX_NUMERIC = 30
@@ -19,7 +19,7 @@ MIN_OVERLAP = 0.5
 STRONG_CORRELATION = 0.7
 STRONG_ASSOCIATION = 0.5
 
-PAIRS_PER_AGGREGATE = 150
+SUMS_PER_AGGREGATE = 90
 
 
 def correlation_pairs(df: DataFrame, numeric_cols: Sequence[str] | None = None, top_n: int | None = 20) -> DataFrame:
@@ -31,28 +31,54 @@ def correlation_pairs(df: DataFrame, numeric_cols: Sequence[str] | None = None,
     pairs = [tuple(sorted(p)) for p in combinations(cols, 2)]
     if not pairs:
         return spark.createDataFrame([], schema)
+    # Pass 1: presence and means. Pass 2: plain sums of centred products, which stay in
+    # generated code; columns without gaps share their sums among all their pairs.
     value = {c: as_double(df, c) for c in cols}
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        batch = pairs[start : start + PAIRS_PER_AGGREGATE]
-        parts = [F.count(F.lit(1)).alias("n")]
-        for k, (a, b) in enumerate(batch):
-            parts.append(pearson(value[a], value[b]).alias(f"r{k}"))
-            parts.append(F.count_if(value[a].isNotNull() & value[b].isNotNull()).alias(f"p{k}"))
-        rows = rows_from_aggregate(
-            df.agg(*parts),
-            [
-                F.struct(
-                    F.lit(a).alias("column_a"),
-                    F.lit(b).alias("column_b"),
-                    F.col(f"r{k}").alias("r"),
-                    F.col(f"p{k}").alias("n_pairs"),
-                    F.col("n").alias("n"),
-                )
-                for k, (a, b) in enumerate(batch)
-            ],
-        )
-        out = rows if out is None else out.unionByName(rows)
+    first = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(value[c]).alias(f"c{i}") for i, c in enumerate(cols)],
+        *[F.avg(value[c]).alias(f"m{i}") for i, c in enumerate(cols)],
+    ).first()
+    n = first["n"]
+    full = {c: first[f"c{i}"] == n for i, c in enumerate(cols)}
+    flat = df.select(
+        *[F.coalesce(value[c] - F.lit(float(first[f"m{i}"] or 0.0)), F.lit(0.0)).alias(f"u{i}") for i, c in enumerate(cols)],
+        *[value[c].isNotNull().cast("double").alias(f"p{i}") for i, c in enumerate(cols) if not full[c]],
+    )
+    at = {c: i for i, c in enumerate(cols)}
+
+    def seen(c: str) -> Column:
+        return F.lit(1.0) if full[c] else F.col(f"p{at[c]}")
+
+    sums: dict[str, Column] = {}
+    for a, b in pairs:
+        i, j = at[a], at[b]
+        x, y = F.col(f"u{i}"), F.col(f"u{j}")
+        sums[f"xy_{i}_{j}"] = x * y
+        for c, o in ((a, b), (b, a)):
+            k, u = (at[c], "") if full[o] else (at[c], f"_{at[o]}")
+            sums[f"s_{k}{u}"] = F.col(f"u{at[c]}") * seen(o)
+            sums[f"q_{k}{u}"] = F.col(f"u{at[c]}") * F.col(f"u{at[c]}") * seen(o)
+        sums[f"n_{i}_{j}"] = seen(a) * seen(b)
+    names = list(sums)
+    got: dict[str, float] = {}
+    for start in range(0, len(names), SUMS_PER_AGGREGATE):
+        batch = names[start : start + SUMS_PER_AGGREGATE]
+        got.update(flat.agg(*[F.sum(sums[s]).alias(s) for s in batch]).first().asDict())
+    rows = []
+    for a, b in pairs:
+        i, j = at[a], at[b]
+        m = got[f"n_{i}_{j}"] or 0.0
+        tail_a, tail_b = ("" if full[b] else f"_{j}"), ("" if full[a] else f"_{i}")
+        if m < 2:
+            continue
+        sx, sy = got[f"s_{i}{tail_a}"], got[f"s_{j}{tail_b}"]
+        xx, yy = got[f"q_{i}{tail_a}"] - sx * sx / m, got[f"q_{j}{tail_b}"] - sy * sy / m
+        if xx <= 0 or yy <= 0:
+            continue
+        r = max(-1.0, min(1.0, (got[f"xy_{i}_{j}"] - sx * sy / m) / (xx**0.5 * yy**0.5)))
+        rows.append((a, b, float(r), int(m), n))
+    out = spark.createDataFrame(rows, "column_a string, column_b string, r double, n_pairs bigint, n bigint")
     out = out.where(F.col("r").isNotNull() & ~F.isnan("r")).select(
         "column_a",
         "column_b",

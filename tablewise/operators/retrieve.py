@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.columns import ref, require_between, require_columns, word_tokens
 from tablewise.plans.nearest import SCORE_DIGITS, nearest, top_per_query
+from tablewise.plans.shape import spread
 
 # Fixed parameters.
 K1, B = 1.5, 0.75
@@ -109,8 +110,9 @@ def chunk_documents(
 ) -> DataFrame:
     """``source, chunk, source_id, text``: one row per chunk, ids read ``source#chunk=i``."""
     require_columns(df, text_col, source_col)
-    body = F.coalesce(ref(text_col), F.lit(""))
-    pieces = df.select(ref(source_col).alias("source"), F.posexplode(chunks(body, max_chars, overlap)).alias("chunk", "text"))
+    body = F.coalesce(F.col("_t"), F.lit(""))
+    texts = spread(df.select(ref(source_col).alias("source"), ref(text_col).alias("_t")))
+    pieces = texts.select(F.col("source").alias("source"), F.posexplode(chunks(body, max_chars, overlap)).alias("chunk", "text"))
     return pieces.select(
         "source", "chunk", F.concat(F.col("source").cast("string"), F.lit("#chunk="), F.col("chunk")).alias("source_id"), "text"
     )
@@ -125,7 +127,8 @@ def _token_rows(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataF
     The token array is built and measured below the explode; measuring it above would repeat
     the split for every token.
     """
-    split = docs.select(ref(id_col).alias(name), word_tokens(ref(text_col)).alias("_w"))
+    texts = spread(docs.select(ref(id_col).alias(name), ref(text_col).alias("_t")))
+    split = texts.select(name, word_tokens(F.col("_t")).alias("_w"))
     sized = split.select(name, "_w", F.size("_w").alias("doc_len"))
     # The outer form keeps the optimizer from testing the array (a second split) before the explode.
     return sized.select(name, "doc_len", F.explode_outer("_w").alias("term")).where(F.col("term").isNotNull())
@@ -154,8 +157,8 @@ def bm25_search(
 
     Only tokens that some query asks for leave the scan; repeated query terms add up.
     """
-    tokens = word_tokens(ref(text_col))
-    size = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("len")).first()
+    texts = spread(docs.select(ref(text_col).alias("_t")))
+    size = texts.agg(F.count("*").alias("n"), F.avg(F.size(word_tokens(F.col("_t")))).alias("len")).first()
     n, avg_len = size["n"], size["len"] or 0.0
     asked = (
         queries.select(ref(query_id).alias("query_id"), F.explode(word_tokens(ref(query_text))).alias("term"))

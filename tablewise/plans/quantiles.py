@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.columns import as_double, ref
 from tablewise.plans.ordering import running_sums
-from tablewise.plans.shape import fits_in_memory, grouped_rows_from_aggregate, long_form, null_safe_join
+from tablewise.plans.shape import fits_in_memory, grouped_rows_from_aggregate, long_form, null_safe_join, spread
 
 
 def percentile_expr(value: Column, probs: Sequence[float]) -> Column:
@@ -27,7 +27,7 @@ def exact_quantiles(
     """``by..., column, quantiles array<double>`` aligned with ``probs``; NULL when no value."""
     narrow = df.select(*[ref(b) for b in by], *[as_double(df, c).alias(f"_v{i}") for i, c in enumerate(cols)])
     if fits_in_memory(narrow):
-        agg = narrow.groupBy(*[ref(b) for b in by]).agg(
+        agg = spread(narrow).groupBy(*[ref(b) for b in by]).agg(
             *[percentile_expr(F.col(f"_v{i}"), probs).alias(f"_v{i}") for i in range(len(cols))]
         )
         structs = [

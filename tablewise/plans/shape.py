@@ -26,6 +26,33 @@ def fits_in_memory(df: DataFrame) -> bool:
     return planned_bytes(df) <= limit
 
 
+PLAIN_NODES = ("Project", "Filter", "LogicalRelation", "SubqueryAlias", "LocalRelation", "DataSourceV2ScanRelation")
+
+
+def is_plain_scan(df: DataFrame) -> bool:
+    """True when a plan only reads, filters and projects: reading it again column by column
+    costs no more than reading it once."""
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() not in PLAIN_NODES:
+            return False
+        children = node.children()
+        nodes.extend(children.apply(i) for i in range(children.size()))
+    return True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """One partition per core for a scan that comes in fewer, such as a file of one row group.
+
+    Only for work that is heavy per row; a scan with partitions enough is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if is_plain_scan(df) and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def steady(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later reads see the same rows in the same partitions even after
     executors are lost. The cluster names the shared folder in ``spark.checkpoint.dir``."""

@@ -470,9 +470,9 @@ def test_holt_blocks_equal_one_sweep(spark, block):
 
 def test_temporal_model_rolls_forward(spark):
     n = 90
-    pdf = pd.DataFrame({"date": pd.date_range("2024-01-01", periods=n).astype(str), "units": np.arange(n) % 7 * 1.0, "sales": np.arange(n) * 2.0 + 5})
+    pdf = pd.DataFrame({"id": np.arange(n) * 2, "date": pd.date_range("2024-01-01", periods=n).astype(str), "units": np.arange(n) % 7 * 1.0, "sales": np.arange(n) * 2.0 + 5})
     df = spark.createDataFrame(pdf)
-    m = train.train_supervised_model(df, "sales", ["date"], ["date", "units"], model_type="linear_regression", task_hint="regression")
+    m = train.train_supervised_model(df, "sales", ["id"], ["date", "units"], model_type="linear_regression", task_hint="regression")
     assert m.lag_config and m.lag_config["lags"] == [1, 7]
     out = forecast.forecast_with_model(m, df, 6).orderBy("step").collect()
     assert [r["step"] for r in out] == [1, 2, 3, 4, 5, 6] and str(out[0]["date"]) == "2024-03-31"

@@ -54,8 +54,8 @@ def test_average_ranks(spark, skewed):
 def test_nearest_equals_brute_force(spark, limit, metric):
     rng = np.random.default_rng(1)
     c, q = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
-    cdf = spark.createDataFrame(pd.DataFrame({"item_id": range(300), "vector": list(c)}))
-    qdf = spark.createDataFrame(pd.DataFrame({"query_id": range(40), "vector": list(q)}))
+    cdf = spark.createDataFrame(pd.DataFrame({"item_id": range(300), "vector": c.tolist()}))
+    qdf = spark.createDataFrame(pd.DataFrame({"query_id": range(40), "vector": q.tolist()}))
     out = nearest(cdf, qdf, 4, metric=metric, max_query_bytes=limit, block_rows=64).toPandas()
     score = q @ c.T if metric == "dot" else -np.linalg.norm(q[:, None] - c[None], axis=2)
     for i in range(40):
