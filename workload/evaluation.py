@@ -498,7 +498,13 @@ def _(t):
     return drift.check_drift(_fresh(t), drift.training_stats(_base(t), ["l_quantity", "l_extendedprice"], ["l_linestatus"]))
 
 
-@query("drift_summary_price_shift")
+@query(
+    "drift_summary_price_shift",
+    f"""WITH p AS ({_psi_sql("l_quantity", "l_quantity")} UNION ALL {_psi_sql("l_extendedprice", "dear")}),
+    w AS (SELECT avg((l_linestatus NOT IN (SELECT l_linestatus FROM {_BASE}))::INT) AS r FROM {_NEW}),
+    d AS (SELECT count(*) FILTER (WHERE psi >= 0.1) + (SELECT (r > 0.1)::INT FROM w) AS n, count(*) FILTER (WHERE psi >= 0.25) + (SELECT (r > 0.3)::INT FROM w) AS h FROM p)
+    SELECT n AS n_drifted, 3::BIGINT AS n_features_checked, round(n / 3.0, 3) AS drift_rate, CASE WHEN h > 0 THEN 'high' WHEN n > 0 THEN 'medium' ELSE 'none' END AS overall_severity FROM d""",
+)
 def _(t):
     return drift.drift_summary(_fresh(t), drift.training_stats(_base(t), ["l_quantity", "l_extendedprice"], ["l_linestatus"]))
 

@@ -100,7 +100,11 @@ def _daily_model(t):
     )
 
 
-@query("split_train_test_stratified")
+@query(
+    "split_train_test_stratified",
+    """WITH c AS (SELECT o_orderstatus, count(*) AS n, round(count(*) * 0.2)::BIGINT AS held FROM orders GROUP BY 1)
+    SELECT o_orderstatus, true AS is_test, held AS n FROM c UNION ALL SELECT o_orderstatus, false, n - held FROM c""",
+)
 def _(t):
     out = train.split_train_test(t.orders, ["o_orderkey"], stratify="o_orderstatus")
     return out.groupBy("o_orderstatus", "is_test").agg(F.count("*").alias("n"))
