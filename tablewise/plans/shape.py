@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -53,13 +56,63 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def shared_folder(spark) -> str:
+    """The folder all executors see, as the session names it in ``spark.checkpoint.dir``.
+
+    Only a single-machine session may go without: it gets a temporary folder of its own.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir().rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = "file:" + tempfile.mkdtemp(prefix="tablewise-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def _remove(jvm, conf, paths: list[str]) -> None:
+    for path in paths:
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+        except Exception:  # the session may be gone with its folder
+            return
+
+
+def remove_at_exit(spark, path: str) -> None:
+    """Delete a scratch folder when the driver ends."""
+    sc = spark.sparkContext
+    if id(sc) not in _SCRATCH:
+        _SCRATCH[id(sc)] = []
+        atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), _SCRATCH[id(sc)])
+    _SCRATCH[id(sc)].append(path)
+
+
+_SCRATCH: dict[int, list[str]] = {}
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: lineage ends there, lost executors cost
+    no recomputation, and later reads see the same rows. Removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tablewise-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    remove_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def steady(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later reads see the same rows in the same partitions even after
-    executors are lost. The cluster names the shared folder in ``spark.checkpoint.dir``."""
+    executors are lost. Spark's cleaner removes its files once the frame is gone, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on; the folder goes when the driver ends."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tablewise-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+        remove_at_exit(df.sparkSession, sc.getCheckpointDir())
     return df.checkpoint()
 
 
