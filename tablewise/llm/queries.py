@@ -52,3 +52,13 @@ def packing(spark, folder):
     from tablewise.llm.packing import pack_documents
 
     return pack_documents(_table(spark, folder, "documents"), tokenizer_path(), end=1, keep_ids=False)
+
+
+@_query("op9_simhash")
+def simhash(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tablewise.llm.simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, folder, "documents"), width=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
