@@ -62,3 +62,29 @@ def simhash(spark, folder):
 
     found = near_duplicates(_table(spark, folder, "documents"), width=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query("op10_decontamination")
+def decontamination(spark, folder):
+    from tablewise.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query("op5_toxicity")
+def toxicity(spark, folder):
+    from tablewise.llm.toxicity import fit_toxicity, fold, score_toxicity
+
+    docs = _table(spark, folder, "documents")
+    model = fit_toxicity(docs, _table(spark, folder, "labels"), learn=fold(3) != 1)
+    return score_toxicity(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@_query("op6_language")
+def language(spark, folder):
+    from tablewise.llm.language import fit_language, predict_language
+    from tablewise.llm.toxicity import fold
+
+    docs = _table(spark, folder, "documents")
+    model = fit_language(docs, learn=fold(4) != 2)
+    return predict_language(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
