@@ -1,9 +1,10 @@
 """Toxicity by two class-conditional Kneser-Ney models of word spellings.
 
 Each class has counts of symbol grams inside words, discounted as Kneser-Ney does; below the longest
-order both classes fall back to the same continuation counts, gathered from both. A spelling that
-neither class knows well then weighs nothing, and a rare expression of one class weighs what its own
-counts say. A text is scored by the difference of its two log-likelihoods per symbol.
+order both classes fall back to the same continuation counts, gathered from both. Where the counts of
+the two classes do not differ by more than chance both use the same probability too, so that ordinary
+spelling weighs nothing and a rare expression weighs what the counts of its class say. A word counts
+once per text. A text is scored by the difference of its two log-likelihoods per symbol.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from tablewise.plans.shape import spread, stored
 
 ORDER = 6
 DISCOUNT = 0.75
+#: Standard deviations by which a class must differ from both classes together in a gram.
+SURE = 4.5
+#: Least log-likelihood ratio that counts; smaller ones come from the mix of languages and topics.
+LEAST_RATIO = 1.0
 #: Labelled texts that are learned from, for each class at most (about).
 ROWS_PER_CLASS = 6_000
 #: Symbols of no opinion that every text has besides its own.
@@ -32,10 +37,8 @@ SLICE = 16 << 20
 
 @dataclass
 class ToxicityModel:
-    grams: np.ndarray  # known grams, sorted
+    grams: np.ndarray  # grams in which the classes differ, sorted
     gram_ratio: np.ndarray  # log P(symbol | context, toxic) - log P(symbol | context, ordinary)
-    contexts: np.ndarray  # known contexts, sorted
-    context_ratio: np.ndarray  # the same for symbols that neither class has seen there
     slope: float = 1.0
     offset: float = 0.0
 
@@ -43,12 +46,7 @@ class ToxicityModel:
         symbols, at = marked(words)
         keys = grams(symbols, at, ORDER)
         where, known = find(self.grams, keys)
-        back, partly = find(self.contexts, keys >> np.uint64(8))
-        value = np.zeros(len(keys))
-        if len(self.contexts):
-            value = np.where(partly, self.context_ratio[back], 0.0)
-        if len(self.grams):
-            value = np.where(known, self.gram_ratio[where], value)
+        value = np.where(known, self.gram_ratio[where], 0.0) if len(self.grams) else np.zeros(len(keys))
         value[at[:-1]] = 0.0  # a BEGIN mark says nothing
         return totals(value, at), np.diff(at) - 1
 
@@ -87,21 +85,23 @@ def shared_backoff(keys: np.ndarray, order: int) -> np.ndarray:
 def fit_counts(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> ToxicityModel:
     """Model from the counts of sorted distinct grams in both classes."""
     if not len(keys):
-        none = np.zeros(0, np.uint64)
-        return ToxicityModel(none, np.zeros(0), none, np.zeros(0))
+        return ToxicityModel(keys, np.zeros(0))
     below = shared_backoff(keys, ORDER)
     contexts, which = np.unique(keys >> np.uint64(8), return_inverse=True)
-    logs, lefts = [], []
+    logs, held = [], []
     for counts in (toxic, ordinary):
         total = np.bincount(which, counts, len(contexts))
         types = np.bincount(which, counts > 0, len(contexts))
         left = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
         own = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[which]
         logs.append(np.log(own + left[which] * below))
-        lefts.append(np.log(left))
-    return ToxicityModel(
-        keys, (logs[0] - logs[1]).astype(np.float32), contexts, (lefts[0] - lefts[1]).astype(np.float32)
-    )
+        held.append(total[which])
+    share = held[0] / (held[0] + held[1])
+    expected = share * (toxic + ordinary)
+    sure = np.abs(toxic - expected) > SURE * np.sqrt(expected * (1 - share) + 1)
+    ratio = logs[0] - logs[1]
+    sure &= np.abs(ratio) >= LEAST_RATIO
+    return ToxicityModel(keys[sure], ratio[sure])
 
 
 def calibrate(ratios: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -146,10 +146,12 @@ def _count(batches):
         owner = np.repeat(np.arange(len(distinct)), np.diff(mark))
         names, which = np.unique(keys[inner], return_inverse=True)
         doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
-        group = (2 * rows.column("toxic").to_numpy(zero_copy_only=False) + rows.column("half").to_numpy(zero_copy_only=False))[doc]
+        group = (2 * rows.column("toxic").to_numpy(zero_copy_only=False) + rows.column("half").to_numpy(zero_copy_only=False))
         out = [pa.array(names.view(np.int64))]
+        once = np.unique(doc * np.int64(len(distinct)) + index)
+        doc, index = once // max(1, len(distinct)), once % max(1, len(distinct))
         for g in range(4):
-            used = np.bincount(index[group == g], minlength=len(distinct))
+            used = np.bincount(index[group[doc] == g], minlength=len(distinct))
             out.append(pa.array(np.bincount(which, used[owner[inner]], len(names)).astype(np.int64)))
         yield pa.RecordBatch.from_arrays(out, ["gram", "o0", "o1", "t0", "t1"])
 
