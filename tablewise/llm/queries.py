@@ -88,3 +88,11 @@ def language(spark, folder):
     docs = _table(spark, folder, "documents")
     model = fit_language(docs, learn=fold(4) != 2)
     return predict_language(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op7_suffix_tree")
+def suffix_tree(spark, folder):
+    from tablewise.llm.suffix_tree import score_texts
+    from tablewise.llm.toxicity import fold
+
+    return score_texts(_table(spark, folder, "documents"), learn=fold(7) != 2)
