@@ -96,3 +96,11 @@ def suffix_tree(spark, folder):
     from tablewise.llm.toxicity import fold
 
     return score_texts(_table(spark, folder, "documents"), learn=fold(7) != 2)
+
+
+@_query("op1_suffix_dedup")
+def suffix_dedup(spark, folder):
+    from tablewise.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(_table(spark, folder, "documents"), length=50, with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
