@@ -32,7 +32,9 @@ from tablewise.llm.batches import documents, parts_for, slices, spread_indices
 GRAM = 20
 SHALLOW = 24
 SLICE = 1 << 20
-BUCKETS_PER_PART = 4
+BUCKETS_PER_PART = 2
+#: Planned bytes of a part, which is held whole in a task.
+PART_BYTES = 6 << 20
 #: Parts in which an anchor occurs beyond which its windows are dealt one by one.
 HOT_PARTS = 24
 NO_KEY = np.int64(2**63 - 1)
@@ -449,7 +451,7 @@ def _repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, ex
     """The documents dealt to parts, and the packed spans of repeats of each part.
 
     All uses of the dealt documents are one exchange in the plan, which Spark runs once."""
-    parts = parts_for(docs)
+    parts = parts_for(docs, PART_BYTES)
     buckets = BUCKETS_PER_PART * parts
     plain = documents(docs, id_col, text_col)
     if extra:
