@@ -36,7 +36,7 @@ BUCKETS_PER_PART = 2
 #: Planned bytes of a part, which is held whole in a task.
 PART_BYTES = 6 << 20
 #: Parts in which an anchor occurs beyond which its windows are dealt one by one.
-HOT_PARTS = 24
+HOT_PARTS = 256
 NO_KEY = np.int64(2**63 - 1)
 LOW = np.uint64(0xFFFFFFFF)
 
