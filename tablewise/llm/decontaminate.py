@@ -38,7 +38,8 @@ class Items:
         self.width, self.threshold, self.radius = width, threshold, radius
         self.vocabulary: dict[bytes, int] = {}
         self.by_length: dict[int, list[tuple[int, int, Counter]]] = defaultdict(list)
-        grams = defaultdict(set)
+        grams: dict[int, set] = defaultdict(set)
+        of_length: dict[int, set] = defaultdict(set)
         for item_id, text in rows:
             words = (text or "").encode().lower().split()
             if not words:
@@ -47,8 +48,14 @@ class Items:
             k = min(width, len(words))
             shingles = [tuple(codes[i : i + k]) for i in range(len(codes) - k + 1)]
             grams[k].update(shingles)
+            of_length[len(words)].update(shingles)
             self.by_length[len(words)].append((item_id, majority(shingle_hashes(words, width)), Counter(shingles)))
         self.keys = {k: np.unique(self.mix(np.array(sorted(g), np.uint64).T)) for k, g in grams.items()}
+        # which shingles the items of each length have
+        self.known = {
+            length: np.isin(self.keys[min(width, length)], self.mix(np.array(sorted(g), np.uint64).T))
+            for length, g in of_length.items()
+        }
         near = [[v ^ m for m in self._flips(radius // 8)] for v in range(256)]
         self.index: dict[int, list[list[list[int]]]] = {}
         for length, items in self.by_length.items():
@@ -104,19 +111,20 @@ class Items:
         self.seen[text] = out
         return out
 
-    def _hits(self, codes: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
-        """1 where a known shingle of k words begins."""
-        out = np.zeros(len(codes), np.int64)
-        if len(codes) < k or k not in self.keys:
-            return out
-        known = codes[: len(codes) - k + 1] > 0
+    def _hits(self, codes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a known shingle of k words begins, and its index."""
+        n = len(codes) - k + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = codes[:n] > 0
         for j in range(1, k):
-            known &= codes[j : len(codes) - k + 1 + j] > 0
+            known &= codes[j : n + j] > 0
         at = np.flatnonzero(known)
         at = at[doc[at] == doc[at + k - 1]]
         keys = self.mix([codes[at + j].astype(np.uint64) for j in range(k)])
-        out[at[np.isin(keys, self.keys[k])]] = 1
-        return out
+        spot = np.minimum(np.searchsorted(self.keys[k], keys), len(self.keys[k]) - 1)
+        there = self.keys[k][spot] == keys
+        return at[there], spot[there]
 
     def matches(self, raw: np.ndarray, at: np.ndarray):
         """Yield (row, item, first word, words, differing bits, similarity): the best window of each
@@ -125,37 +133,32 @@ class Items:
             return
         words, first = pieces(LOWER[raw], at, WHITE)
         index, distinct = coded(words)
+        if not len(index):
+            return
         known = np.array([self.vocabulary.get(w, 0) for w in distinct.to_pylist()], np.int64)
-        codes = known[index] if len(index) else np.zeros(0, np.int64)
+        codes = known[index]
         doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
         hits = {k: self._hits(codes, doc, k) for k in self.keys}
-        # documents with hits enough for the smallest item of some shingle width
-        keep = np.zeros(len(at) - 1, bool)
-        for k, h in hits.items():
-            least = min(self.least_shared(n) for n in self.by_length if min(self.width, n) == k)
-            keep |= np.bincount(doc, h, len(at) - 1) >= least
-        rows = np.flatnonzero(keep)
-        if not len(rows):
-            return
-        sizes = np.diff(first)[rows]
-        place = spread_indices(first[rows], sizes)
-        owner, place_in = np.repeat(rows, sizes), np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        sums = {k: np.concatenate([[0], np.cumsum(h[place])]) for k, h in hits.items()}
         best: dict[tuple[int, int], tuple] = {}
         for length in sorted(self.by_length):
-            k = min(self.width, length)
+            k, least = min(self.width, length), self.least_shared(length)
             n = length - k + 1
-            if len(place) < length:
+            place, which = hits[k]
+            place = place[self.known[length][which]]
+            if len(place) < least:
                 continue
-            start = np.flatnonzero(sums[k][n : len(place) - k + 2] - sums[k][: len(place) - length + 1] >= self.least_shared(length))
-            start = start[owner[start] == owner[start + length - 1]]
+            # windows that begin so that ``least`` hits in a row lie inside
+            low, high = place[least - 1 :] - n + 1, place[: len(place) - least + 1]
+            fits = low <= high
+            start = np.unique(spread_indices(low[fits], (high - low)[fits] + 1))
+            start = start[(start >= 0) & (start + length <= len(doc))]
+            start = start[doc[start] == doc[start + length - 1]]
             for s in start.tolist():
-                window = words.slice(int(place[s]), length).to_pylist()
-                for item, differ, similarity in self.verify(window):
-                    found = (-similarity, int(place_in[s]), length, differ)
-                    key = (int(owner[s]), item)
-                    if key not in best or found < best[key]:
-                        best[key] = found
+                row = int(doc[s])
+                for item, differ, similarity in self.verify(words.slice(s, length).to_pylist()):
+                    found = (-similarity, int(s - first[row]), length, differ)
+                    if (row, item) not in best or found < best[row, item]:
+                        best[row, item] = found
         for (row, item), (similarity, begin, length, differ) in sorted(best.items()):
             yield row, item, begin, length, differ, -similarity
 
