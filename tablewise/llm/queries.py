@@ -104,3 +104,16 @@ def suffix_dedup(spark, folder):
 
     found = remove_repeats(_table(spark, folder, "documents"), length=50, with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query("op4_media")
+def media(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tablewise.llm.media import image_classes, page_pictures
+
+    found = image_classes(page_pictures(_table(spark, folder, "pages")))
+    return found.select(
+        "image_id", F.floor(F.col("image_id") / 3).alias("page_id"), (F.col("image_id") % 3).cast("int").alias("variant"),
+        "class_id", "n_links",
+    )
