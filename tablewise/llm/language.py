@@ -28,7 +28,7 @@ BUCKETS = 2048
 GRAM_ORDERS = (1, 2, 3, 4)
 #: Labelled texts that are learned from, over all languages (about).
 MAX_ROWS = 4_000
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 
 def family_of(lang: str) -> str:

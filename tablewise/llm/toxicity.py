@@ -32,7 +32,7 @@ LEAST_RATIO = 1.0
 ROWS_PER_CLASS = 6_000
 #: Symbols of no opinion that every text has besides its own.
 PRIOR_SYMBOLS = 60
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 
 @dataclass
