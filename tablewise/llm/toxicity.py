@@ -28,6 +28,8 @@ DISCOUNT = 0.75
 SURE = 4.5
 #: Least log-likelihood ratio that counts; smaller ones come from the mix of languages and topics.
 LEAST_RATIO = 1.0
+#: Texts of the sample that must have a gram for it to be looked at.
+LEAST_TEXTS = 3
 #: Labelled texts that are learned from, for each class at most (about).
 ROWS_PER_CLASS = 6_000
 #: Symbols of no opinion that every text has besides its own.
@@ -168,7 +170,8 @@ def fit_toxicity(
     """
     sample = stored(labelled_sample(docs, labels, F.lit(True) if learn is None else learn, rows_per_class, id_col, text_col, label_col))
     counted = sample.mapInArrow(_count, "gram long, o0 long, o1 long, t0 long, t1 long")
-    table = counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("o0", "o1", "t0", "t1")]).toPandas()
+    table = counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("o0", "o1", "t0", "t1")])
+    table = table.where(F.col("o0") + F.col("o1") + F.col("t0") + F.col("t1") >= LEAST_TEXTS).toPandas()
     keys = table["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, n = keys[order], {c: table[c].to_numpy(np.int64)[order] for c in ("o0", "o1", "t0", "t1")}
