@@ -12,10 +12,7 @@ from tablewise.functions.columns import as_double, as_text, kinds, missing, nume
 from tablewise.plans.shape import long_form, rows_from_aggregate
 
 # Fixed limits and thresholds of the key search.
-MAX_COLUMNS = 50
-MAX_PAIR_COLUMNS = 15
 MAX_RESULTS = 10
-MAX_OTHERS = 5
 MIN_SIMILARITY = 0.5
 MIN_OVERLAP = 0.1
 RECOMMENDED_SIMILARITY, RECOMMENDED_OVERLAP = 0.6, 0.3
@@ -77,8 +74,8 @@ def join_key_candidates(df_a: DataFrame, df_b: DataFrame) -> DataFrame:
     rows before one join, so a value that fills a third of a table counts once.
     """
     pairs = []
-    for a in df_a.columns[:MAX_COLUMNS]:
-        for b in df_b.columns[:MAX_COLUMNS]:
+    for a in df_a.columns:
+        for b in df_b.columns:
             exact, score = a.lower() == b.lower(), name_similarity(a, b)
             if exact or score >= MIN_SIMILARITY:
                 pairs.append((len(pairs), a, b, score, exact))
@@ -133,8 +130,8 @@ def cross_correlations(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str,
     """
     require_columns(df_a, key_a)
     require_columns(df_b, key_b)
-    num_a = [c for c in numeric_columns(df_a) if c != key_a][:MAX_PAIR_COLUMNS]
-    num_b = [c for c in numeric_columns(df_b) if c != key_b][:MAX_PAIR_COLUMNS]
+    num_a = [c for c in numeric_columns(df_a) if c != key_a]
+    num_b = [c for c in numeric_columns(df_b) if c != key_b]
     spark = df_a.sparkSession
     schema = "col_a string, col_b string, pearson_r double, abs_r double, n_matched bigint"
     if not num_a or not num_b:
@@ -191,7 +188,7 @@ def cross_correlations(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str,
 def cross_dataset_profile(df: DataFrame, others: Mapping[str, DataFrame]) -> DataFrame:
     """Key candidates and, on the best key, strong correlations against each other table."""
     out = None
-    for name, other in list(others.items())[:MAX_OTHERS]:
+    for name, other in others.items():
         keys = join_key_candidates(df, other)
         part = keys.select(
             F.lit(name).alias("dataset"),

@@ -13,7 +13,6 @@ from tablewise.plans.quantiles import exact_quantiles
 from tablewise.plans.shape import long_form, rows_from_aggregate
 
 # Fixed limits and thresholds of drift checks.
-MAX_COLUMNS = 100
 MAX_CATEGORIES = 20
 BINS = 10
 PSI_MEDIUM, PSI_HIGH = 0.1, 0.25
@@ -36,7 +35,6 @@ def training_stats(
     kind = kinds(df)
     nums = list(numeric_cols if numeric_cols is not None else [c for c, k in kind.items() if k == "numeric"])
     cats = list(categorical_cols if categorical_cols is not None else [c for c, k in kind.items() if k in ("categorical", "boolean")])
-    nums, cats = nums[:MAX_COLUMNS], cats[: max(MAX_COLUMNS - len(nums), 0)]
     require_columns(df, *nums, *cats)
     out = None
     if nums:

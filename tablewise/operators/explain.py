@@ -21,7 +21,6 @@ from tablewise.plans.shape import rows_from_aggregate
 REPEATS = 10
 DRAWS = 20
 GRID = 20
-PDP_FEATURES = 6
 ICE_ROWS = 20
 LOW, HIGH = 0.05, 0.95
 SEED = 42
@@ -237,7 +236,7 @@ def partial_dependence(
     model: Trained, df: DataFrame, feature_cols: Sequence[str] | None = None, points: int = GRID, sample: float | None = None
 ) -> DataFrame:
     """``feature, value, text_value, mean_prediction`` over all rows."""
-    cols = list(feature_cols or [c for c in model.feature_cols if c in df.columns])[:PDP_FEATURES]
+    cols = list(feature_cols or [c for c in model.feature_cols if c in df.columns])
     require_columns(df, *cols)
     rows = _on_grid(model, limited(df, sample), _grid(df, cols, points), [])
     return rows.groupBy("feature", "value", "text_value").agg(F.avg("score").alias("mean_prediction"))

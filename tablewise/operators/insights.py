@@ -14,8 +14,6 @@ from tablewise.operators.relate import categorical_associations, correlation_pai
 from tablewise.operators.trend import detect_datetime_col, trend_summary
 
 # Fixed limits.
-MAX_ANOMALY_COLUMNS = 8
-MAX_CONTEXT_COLUMNS = 80
 TOP_CORRELATIONS, TOP_ASSOCIATIONS, SAMPLE_ROWS = 20, 10, 5
 SECTIONS = ("data_quality", "relationships", "anomalies", "trend")
 
@@ -41,7 +39,7 @@ def auto_insights(df: DataFrame, key: Sequence[str], top_n: int = 10, trees: int
             )
         )
     if len(nums) >= 2:
-        scores = anomaly_scores(df, nums[:MAX_ANOMALY_COLUMNS], key, trees=trees)
+        scores = anomaly_scores(df, nums, key, trees=trees)
         parts.append(
             scores.agg(F.count_if("is_anomaly").alias("n"), F.count("*").alias("all"))
             .where("n > 0")
@@ -79,7 +77,7 @@ def auto_insights(df: DataFrame, key: Sequence[str], top_n: int = 10, trees: int
 
 def analysis_context(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """``section, name, item, value, text``: bounded summary of a table in one long form."""
-    cols = df.columns[:MAX_CONTEXT_COLUMNS]
+    cols = df.columns
     d = df.select(*[ref(c) for c in cols])
     null, blank = F.lit(None).cast("double"), F.lit(None).cast("string")
     nums = numeric_columns(d)

@@ -22,7 +22,6 @@ from tablewise.plans.shape import long_form, rows_from_aggregate, spread, steady
 
 # Fixed parameters of the forest and the report.
 TREES, TREE_ROWS = 300, 256
-MAX_REPORTED = 200
 SEED = 42
 STD_FLOOR = 1e-9
 
@@ -139,11 +138,17 @@ def anomaly_scores(
 
 
 def anomaly_scan(
-    df: DataFrame, numeric_cols: Sequence[str], key: Sequence[str], contamination: float = 0.02, trees: int = TREES
+    df: DataFrame,
+    numeric_cols: Sequence[str],
+    key: Sequence[str],
+    contamination: float = 0.02,
+    trees: int = TREES,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The worst flagged rows."""
+    """All flagged rows, the worst first, or the ``limit`` worst."""
     scores = anomaly_scores(df, numeric_cols, key, contamination, trees)
-    return scores.where("is_anomaly").orderBy("score", *[ref(k) for k in key]).limit(MAX_REPORTED).drop("is_anomaly")
+    worst = scores.where("is_anomaly").orderBy("score", *[ref(k) for k in key]).drop("is_anomaly")
+    return worst if limit is None else worst.limit(limit)
 
 
 def explain_anomaly(df: DataFrame, numeric_cols: Sequence[str], rows: DataFrame, key: Sequence[str], top_k: int = 10) -> DataFrame:

@@ -12,8 +12,6 @@ from tablewise.functions.columns import as_double, as_text, kinds, numeric_colum
 from tablewise.plans.shape import long_form
 
 # Fixed limits and thresholds.
-MAX_NUMERIC = 30
-MAX_CATEGORICAL = 10
 MIN_CATEGORIES, MAX_CATEGORIES = 2, 20
 MIN_OVERLAP = 0.5
 STRONG_CORRELATION = 0.7
@@ -24,7 +22,7 @@ SUMS_PER_AGGREGATE = 90
 
 def correlation_pairs(df: DataFrame, numeric_cols: Sequence[str] | None = None, top_n: int | None = 20) -> DataFrame:
     """Pairwise-complete Pearson correlation of every unordered column pair."""
-    cols = list(numeric_cols or numeric_columns(df)[:MAX_NUMERIC])
+    cols = list(numeric_cols or numeric_columns(df))
     require_columns(df, *cols)
     spark = df.sparkSession
     schema = "column_a string, column_b string, correlation double, abs_correlation double, n_pairs bigint, low_overlap boolean"
@@ -98,7 +96,7 @@ def default_categorical_columns(df: DataFrame) -> list[str]:
         return []
     # One bounded set per column would grow with the data, so distinct values are counted.
     row = df.agg(*[F.count_distinct(as_text(df, c)).alias(f"u{i}") for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if MIN_CATEGORIES <= row[f"u{i}"] <= MAX_CATEGORIES][:MAX_CATEGORICAL]
+    return [c for i, c in enumerate(cols) if MIN_CATEGORIES <= row[f"u{i}"] <= MAX_CATEGORIES]
 
 
 def categorical_associations(
@@ -113,7 +111,7 @@ def categorical_associations(
     needs only one row per category.
     """
     cats = list(categorical_cols or default_categorical_columns(df))
-    nums = list(numeric_cols or numeric_columns(df)[:MAX_NUMERIC])
+    nums = list(numeric_cols or numeric_columns(df))
     require_columns(df, *cats, *nums)
     if not cats or not nums:
         return df.sparkSession.createDataFrame([], "categorical_col string, numeric_col string, correlation_ratio double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.columns import ref, require_between, require_columns, word_tokens
 from tablewise.plans.nearest import SCORE_DIGITS, nearest, top_per_query
-from tablewise.plans.shape import spread
+from tablewise.plans.shape import spread, stored
 
 # Fixed parameters.
 K1, B = 1.5, 0.75
@@ -155,33 +155,37 @@ def bm25_search(
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` for all queries at once.
 
-    Only tokens that some query asks for leave the scan; repeated query terms add up.
+    The documents are tokenised once, into stored postings.
     """
-    texts = spread(docs.select(ref(text_col).alias("_t")))
-    size = texts.agg(F.count("*").alias("n"), F.avg(F.size(word_tokens(F.col("_t")))).alias("len")).first()
-    n, avg_len = size["n"], size["len"] or 0.0
+    index = stored(bm25_index(docs, id_col, text_col))
+    return search_index(index, docs.count(), queries, top_k, query_id, query_text)
+
+
+def search_index(
+    index: DataFrame, documents: int, queries: DataFrame, top_k: int = TOP_K, query_id: str = "query_id", query_text: str = "query"
+) -> DataFrame:
+    """Search the postings of :func:`bm25_index`, of which ``documents`` is the number of documents.
+
+    Document frequencies, lengths and scores all come from the postings; repeated query terms add up.
+    Scores are summed as decimals, so that they do not depend on the order of the rows.
+    """
+    total = index.agg(F.sum("tf")).first()[0] or 0
+    average = total / documents if total else 1.0
     asked = (
         queries.select(ref(query_id).alias("query_id"), F.explode(word_tokens(ref(query_text))).alias("term"))
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    rows = _token_rows(docs, id_col, text_col, "item_id")
-    index = (
-        rows.join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("item_id", "doc_len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    weights = (
-        index.groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .select("term", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    )
+    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    df = F.col("df")
+    weights = document_frequency(wanted).select("term", F.ln((documents - df + 0.5) / (df + 0.5) + 1).alias("idf"))
     tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(avg_len or 1.0)))
+    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(average)))
     scored = (
-        index.join(asked.join(weights, "term"), "term")
-        .groupBy("query_id", "item_id")
-        .agg(F.round(F.sum(F.col("qtf") * part), SCORE_DIGITS).alias("score"))
+        wanted.join(asked.join(weights, "term"), "term")
+        .groupBy("query_id", F.col("doc_id").alias("item_id"))
+        .agg(F.sum((F.col("qtf") * part).cast("decimal(28,12)")).alias("score"))
+        .withColumn("score", F.round(F.col("score"), SCORE_DIGITS).cast("double"))
     )
     return top_per_query(scored.where(F.col("score") > 0), top_k)
 

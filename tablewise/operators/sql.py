@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 MAX_NAME = 32
 ACTIVE_VIEW = "t"
 
-# Plan nodes and functions that leave the loaded tables: shell scripts and JVM method calls.
-DENIED_IN_PLAN = ("scripttransformation", "reflect", "java_method", "try_reflect")
+# Functions that leave the loaded tables.
+DENIED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
 REJECTED_PREFIXES = ("Insert", "Create", "Drop", "Alter", "Replace", "Show", "Set", "Cache", "Add")
 
 
@@ -49,12 +49,22 @@ def _require_query(session: SparkSession, query: str) -> None:
         nodes.extend(children.apply(i) for i in range(children.size()))
 
 
-def _require_contained(result: DataFrame) -> None:
-    """Reject shell scripts and JVM method calls anywhere in the plan, subqueries included."""
-    text = result._jdf.queryExecution().analyzed().toString().lower()
-    for name in DENIED_IN_PLAN:
-        if re.search(rf"(?<![a-z0-9_]){name}(?![a-z0-9_])", text):
-            raise ValueError(f"not allowed in a query: {name}")
+def _require_contained(session: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> None:
+    """Reject tables that were not handed in, shell scripts and JVM method calls, subqueries included.
+
+    The tree of the parsed, not yet analysed query names every relation, common table expression and
+    function call as such; a text literal is none of them.
+    """
+    tree = session._jsparkSession.sessionState().sqlParser().parsePlan(query).treeString()
+    known = {name.lower() for name in tables}
+    for names in re.findall(r"CTE \[([^\]]*)\]", tree):
+        known |= {n.strip().lower() for n in names.split(",")}
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
+        if name.lower() not in known:
+            raise ValueError(f"unknown table in a query: {name}")
+    found = re.search(rf"ScriptTransformation|'({'|'.join(DENIED_FUNCTIONS)})\(", tree, re.IGNORECASE)
+    if found:
+        raise ValueError(f"not allowed in a query: {found.group(0)}")
 
 
 def _adopt(session: SparkSession, name: str, table: DataFrame) -> None:
@@ -77,10 +87,10 @@ def sql_query(df: DataFrame, query: str, extra_tables: Mapping[str, DataFrame] |
     for name, table in tables.items():
         _adopt(session, name, table)
     _require_query(session, query)
+    _require_contained(session, query, tables)
     try:
         result = session.sql(query)
     except AnalysisException as exc:
         columns = {name: table.columns for name, table in tables.items()}
         raise ValueError(f"{str(exc).splitlines()[0]} Available columns: {columns}") from None
-    _require_contained(result)
     return result

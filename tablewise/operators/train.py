@@ -29,12 +29,14 @@ from tablewise.plans.nearest import nearest
 from tablewise.plans.ordering import row_index
 
 # Fixed rules.
-LAG_MIN_ROWS, LAG_MAX_COLS = 50, 8
+LAG_MIN_ROWS = 50
 INTERACTION_MIN_COLS, INTERACTION_MIN_ROWS = 3, 200
 AUTO_MIN_ROWS, TUNE_MIN_ROWS, CALIBRATE_MIN_ROWS = 30, 50, 100
 TUNE_DRAWS, TUNE_FOLDS, CALIBRATE_FOLDS, AUTO_FOLDS = 10, 3, 3, 3
 SMOTE_MIN_MINORITY, SMOTE_NEIGHBOURS = 6, 5
-SMOTE_RATIO_UNWEIGHTED, SMOTE_RATIO = 5, 10
+# Imbalance that a model family bears: those that take no class weights bear less.
+SMOTE_RATIO = 10
+SMOTE_LIMITS = {"gradient_boosting": 5, "knn": 5}
 KNN_K = 5
 IMPORTANCE_TOP = 15
 SEED = 42
@@ -237,7 +239,7 @@ def estimator(task: str, model_type: str, n: int, n_labels: int = 2, weighted: b
         if weighted and family != "gradient_boosting":
             common["weightCol"] = "_weight"
         if family == "gradient_boosting" and n_labels > 2:
-            family = "random_forest"  # Spark's boosted trees are binary
+            raise ValueError("boosted trees take two classes; use random_forest for more")
         prob = {"probabilityCol": "_probability", "rawPredictionCol": "_raw"}
         makers: dict[str, Callable] = {
             "logistic_regression": lambda: LogisticRegression(regParam=1.0 / max(n, 1), standardization=False, maxIter=100, **common, **prob),
@@ -433,6 +435,7 @@ def auto_select_model(
     scores = {
         m: cross_validate(df, target, usable, task, m, key, AUTO_FOLDS, labels, log_target=log_target, params=params)["mean"]
         for m in AUTO[task]
+        if len(labels) <= 2 or m != "gradient_boosting"  # Spark's boosted trees take two classes
     }
     return max(scores, key=lambda m: scores[m])
 
@@ -470,14 +473,12 @@ def platt_calibrate(df: DataFrame, target: str, roles: dict[str, str], model_typ
 
 
 def should_use_smote(task: str, model_type: str, counts: dict[str, int]) -> tuple[bool, int]:
-    if task != "classification" or len(counts) != 2:
+    """Whether to add synthetic rows, and how many neighbours each is drawn from."""
+    sizes = sorted(counts.values())
+    if task != "classification" or len(sizes) != 2 or sizes[0] < SMOTE_MIN_MINORITY:
         return False, SMOTE_NEIGHBOURS
-    low, high = min(counts.values()), max(counts.values())
-    if low < SMOTE_MIN_MINORITY:
-        return False, SMOTE_NEIGHBOURS
-    unweighted = resolve_model_type(model_type) in ("gradient_boosting", "knn")
-    use = (unweighted and high / low > SMOTE_RATIO_UNWEIGHTED) or high / low > SMOTE_RATIO
-    return use, min(SMOTE_NEIGHBOURS, low - 1)
+    limit = SMOTE_LIMITS.get(resolve_model_type(model_type), SMOTE_RATIO)
+    return sizes[1] > limit * sizes[0], min(SMOTE_NEIGHBOURS, sizes[0] - 1)
 
 
 def feature_importance(model: Trained, top_n: int = IMPORTANCE_TOP) -> list[tuple[str, float]]:
@@ -535,7 +536,7 @@ def train_supervised_model(
     dates, nums = [c for c, r in roles.items() if r == "datetime"], [c for c, r in roles.items() if r == "numeric"]
     lag_config = None
     if dates and nums and task == "regression" and n >= LAG_MIN_ROWS:
-        lag_cols = nums[:LAG_MAX_COLS]
+        lag_cols = nums
         rows = features.lag_features(rows, dates[0], lag_cols, partition_by=lag_series, key=key)
         made = [c for c in rows.columns if "__lag_" in c or "__roll_mean_" in c]
         roles.update({c: "numeric" for c in made})

@@ -53,9 +53,12 @@ def normalize(df: DataFrame) -> DataFrame:
     return out.select(*[finite(c) if isinstance(out.schema[c].dataType, FLOATING) else ref(c) for c in out.columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Header CSV. Give ``schema`` on large inputs: inference reads the data once more."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+    """Header CSV. Give ``schema`` on large inputs: inference reads the data once more.
+
+    ``multi_line`` allows line feeds inside quotes, at the price of one task for a whole file.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return normalize(df)
 
@@ -121,11 +124,12 @@ def detect_format(uri: str, content_type: str = "") -> str:
     return "csv"
 
 
-def read_uri(spark: SparkSession, uri: str, content_type: str = "") -> DataFrame:
-    """Any location Hadoop can read; the format follows the name."""
-    return {"parquet": lambda: normalize(spark.read.parquet(uri)), "json": lambda: read_json(spark, uri)}.get(
-        detect_format(uri, content_type), lambda: read_csv(spark, uri)
-    )()
+def read_uri(spark: SparkSession, uri: str, content_type: str = "", **options) -> DataFrame:
+    """Any location Hadoop can read; the format follows the name, and ``options`` go to its reader."""
+    kind = detect_format(uri, content_type)
+    if kind == "parquet":
+        return normalize(spark.read.parquet(uri))
+    return (read_json if kind == "json" else read_csv)(spark, uri, **options)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

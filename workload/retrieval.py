@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.columns import word_tokens
 from tablewise.operators import retrieve
+from tablewise.plans.shape import stored
 from workload.profiling import _rounded
 from workload.registry import query
 
@@ -41,15 +42,20 @@ def _bm25_ctes(source: str, queries: str, k: int) -> str:
   p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM w) GROUP BY doc_id, term),
   i AS (SELECT term, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM p, z GROUP BY term),
   q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM {queries}) GROUP BY ALL),
-  s AS (SELECT query_id, doc_id AS item_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al))), 6) AS score
+  s AS (SELECT query_id, doc_id AS item_id, round(sum((qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / al)))::DECIMAL(28, 12)), 6)::DOUBLE AS score
         FROM q JOIN p USING (term) JOIN i USING (term), z GROUP BY query_id, doc_id),
   kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= {k})"""
 
 
-@query("bm25_search_benchmark", "WITH " + _bm25_ctes("documents", "benchmark", 6) + " SELECT query_id, item_id, round(score, 4) AS score, rank FROM kw")
+@query("bm25_search_benchmark", "WITH " + _bm25_ctes("documents", "benchmark", 6) + " SELECT query_id, item_id, score, rank FROM kw")
 def _(t):
-    hits = retrieve.bm25_search(t.documents, t.benchmark, query_id="item_id", query_text="text")
-    return _rounded(hits, "score")
+    return retrieve.bm25_search(t.documents, t.benchmark, query_id="item_id", query_text="text")
+
+
+@query("bm25_search_stored_index", "WITH " + _bm25_ctes("documents", "benchmark", 6) + " SELECT query_id, item_id, score, rank FROM kw")
+def _(t):
+    index = stored(retrieve.bm25_index(t.documents, "doc_id", "text"))
+    return retrieve.search_index(index, t.documents.count(), t.benchmark, query_id="item_id", query_text="text")
 
 
 _CENTROIDS = """c AS (SELECT label, list(v ORDER BY d) AS v FROM (SELECT label, d, avg(embedding[d]::DOUBLE) AS v FROM embeddings,
@@ -91,12 +97,12 @@ def _(t):
 
 
 def _vector_docs(t):
-    return t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    return t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left")
 
 
 def _vector_queries(t):
     v = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector"))
-    return t.benchmark.withColumnRenamed("text", "query").join(v, "item_id")
+    return t.benchmark.withColumnRenamed("text", "query").join(v, "item_id", "left")
 
 
 _COLUMNS = {"query_id": "item_id", "query_text": "query"}
@@ -104,10 +110,10 @@ _COLUMNS = {"query_id": "item_id", "query_text": "query"}
 
 def _hybrid_sql(k):
     return (
-        "WITH dv AS (SELECT doc_id, text, embedding AS v FROM documents JOIN embeddings ON doc_id = vec_id), "
-        "qv AS (SELECT item_id, text, embedding AS v FROM benchmark JOIN embeddings ON item_id = vec_id), "
+        "WITH dv AS (SELECT doc_id, text, embedding AS v FROM documents LEFT JOIN embeddings ON doc_id = vec_id), "
+        "qv AS (SELECT item_id, text, embedding AS v FROM benchmark LEFT JOIN embeddings ON item_id = vec_id), "
         + _bm25_ctes("dv", "qv", 3 * k)
-        + f""", cs AS (SELECT qv.item_id AS query_id, dv.doc_id AS item_id, round(list_inner_product(qv.v::DOUBLE[], dv.v::DOUBLE[]), 6) AS score FROM dv, qv),
+        + f""", cs AS (SELECT qv.item_id AS query_id, dv.doc_id AS item_id, round(list_inner_product(qv.v::DOUBLE[], dv.v::DOUBLE[]), 6) AS score FROM dv, qv WHERE dv.v IS NOT NULL AND qv.v IS NOT NULL),
   cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM cs) WHERE r <= {3 * k}),
   m AS (SELECT query_id, max(score) AS top FROM kw GROUP BY query_id),
   h AS (SELECT query_id, item_id, round(0.7 * coalesce(cp.score, 0) + 0.3 * coalesce(kw.score / greatest(top, 1e-9), 0), 6) AS score
