@@ -29,10 +29,11 @@ LOWER[65:91] += 32
 
 def parts_for(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
     """Partitions for work that is heavy per byte: follows the size of the plan, and is never less
-    than the cores or the shuffle partitions of the session."""
+    than the cores or the shuffle partitions of the session. Sizes that Spark cannot tell, or that it
+    multiplies up over joins, count for no more than a few parts for each partition there is."""
     spark = df.sparkSession
     least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(least, math.ceil(planned_bytes(df) / part_bytes))
+    return max(least, min(math.ceil(planned_bytes(df) / part_bytes), 32 * df.rdd.getNumPartitions()))
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
