@@ -44,6 +44,10 @@ HEADLINE = [
     "latency_by_user",
     "holt_forecast_daily",
     "sql_inner_join_chain",
+    "smote_toxic_documents",
+    "permutation_importance_parts",
+    "shapley_sampling_parts",
+    "forecast_with_model_daily",
 ]
 
 
