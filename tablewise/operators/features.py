@@ -34,7 +34,6 @@ TARGET_LEVELS = 500
 TARGET_UNIQUE_SHARE = 0.5
 TEXT_WORDS = 3
 PARSE_SHARE = 0.9
-MAX_INTERACTION_INPUTS, MAX_INTERACTIONS = 15, 50
 LOG_SKEW = 1.5
 MAX_CLASSES = 20
 LAGS, WINDOWS = (1, 7), (7,)
@@ -409,10 +408,15 @@ def target_encode(
     return null_safe_join(rows, lookup, ["_fold", "_cat"], "left").drop("_fold", "_cat", "_y")
 
 
-def fit_interactions(df: DataFrame, numeric_cols: Sequence[str]) -> DataFrame:
-    """``left, right, variance`` of the pairwise products worth keeping, largest variance first."""
+def fit_interactions(
+    df: DataFrame, numeric_cols: Sequence[str], max_inputs: int | None = None, max_products: int | None = None
+) -> DataFrame:
+    """``left, right, variance`` of the pairwise products that vary, largest variance first.
+
+    ``max_inputs`` takes the first columns only, ``max_products`` keeps the products that vary most.
+    """
     scale = {r["column"]: r for r in fit_impute_scale(df, numeric_cols).collect()}
-    order = sorted(numeric_cols, key=lambda c: (not scale[c]["std"], list(numeric_cols).index(c)))[:MAX_INTERACTION_INPUTS]
+    order = sorted(numeric_cols, key=lambda c: (not scale[c]["std"], list(numeric_cols).index(c)))[:max_inputs]
     z = {c: _scaled(df, scale[c]) for c in order}
     pairs = list(combinations(order, 2))
     agg = df.agg(*[F.var_pop(z[a] * z[b]).alias(f"v{k}") for k, (a, b) in enumerate(pairs)])
@@ -423,17 +427,20 @@ def fit_interactions(df: DataFrame, numeric_cols: Sequence[str]) -> DataFrame:
             for k, (a, b) in enumerate(pairs)
         ],
     )
-    return rows.where(F.col("variance") > 0).orderBy(F.col("variance").desc(), "left", "right").limit(MAX_INTERACTIONS)
+    varied = rows.where(F.col("variance") > 0).orderBy(F.col("variance").desc(), "left", "right")
+    return varied if max_products is None else varied.limit(max_products)
 
 
 def _scaled(df: DataFrame, r) -> Column:
     return (F.coalesce(as_double(df, r["column"]), F.lit(r["fill"])) - F.lit(r["mean"])) / F.lit(r["std"] or 1.0)
 
 
-def interaction_features(df: DataFrame, numeric_cols: Sequence[str]) -> DataFrame:
-    """Products of scaled columns, named ``a b``."""
+def interaction_features(
+    df: DataFrame, numeric_cols: Sequence[str], max_inputs: int | None = None, max_products: int | None = None
+) -> DataFrame:
+    """Products of scaled columns, named ``a b``; all pairs unless limits are given."""
     scale = {r["column"]: r for r in fit_impute_scale(df, numeric_cols).collect()}
-    kept = fit_interactions(df, numeric_cols).collect()  # at most 50 rows
+    kept = fit_interactions(df, numeric_cols, max_inputs, max_products).collect()  # one row per pair of columns
     return df.withColumns({f"{r['left']} {r['right']}": _scaled(df, scale[r["left"]]) * _scaled(df, scale[r["right"]]) for r in kept})
 
 
@@ -446,11 +453,11 @@ def text_vectors(df: DataFrame, col: str, dims: int = 64, features: int = 1 << 1
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer
 
-    dims = min(dims, features)
+    dims, out = min(dims, features), name or f"{col}__vector"
     stages = [
-        RegexTokenizer(inputCol=col, outputCol="_tokens", pattern="[a-z0-9]+", gaps=False, toLowercase=True),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        PCA(inputCol="_tfidf", outputCol=name or f"{col}__vector", k=dims),
+        RegexTokenizer(inputCol=col, outputCol=f"{out}_tokens", pattern="[a-z0-9]+", gaps=False, toLowercase=True),
+        HashingTF(inputCol=f"{out}_tokens", outputCol=f"{out}_tf", numFeatures=features),
+        IDF(inputCol=f"{out}_tf", outputCol=f"{out}_tfidf"),
+        PCA(inputCol=f"{out}_tfidf", outputCol=out, k=dims),
     ]
     return Pipeline(stages=stages).fit(df.where(ref(col).isNotNull()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from tablewise.plans.shape import one_row
 # Fixed sample sizes of the power curve.
 POWER_CURVE = (10, 20, 50, 100, 200, 500)
 EXACT_RANK_ROWS = 8
+EXACT_TABLE = 1_000_000
 
 
 def two_group_extract(
@@ -162,16 +164,20 @@ def paired_t(
 
 
 def _exact_u_tail(u: float, n1: int, n2: int, alternative: str) -> float:
-    """Exact null distribution of U for tiny untied samples, counted by the usual recurrence."""
-    counts = [1] + [0] * (n1 * n2)
-    for i in range(1, n1 + 1):
-        for j in range(n1 * n2, n2 + i - 1, -1):
-            counts[j] -= counts[j - n2 - i]
-        for j in range(i, n1 * n2 + 1):
-            counts[j] += counts[j - i]
-    total = sum(counts)
-    at_least = sum(counts[int(math.ceil(u)) :]) / total
-    at_most = sum(counts[: int(math.floor(u)) + 1]) / total
+    """Exact null distribution of U for untied samples: the coefficients of a Gaussian binomial, in
+    whole numbers of any size. The product over the smaller side keeps the passes few."""
+    few, many = min(n1, n2), max(n1, n2)
+    counts = np.zeros(n1 * n2 + 1, dtype=object)
+    counts[0] = 1
+    for i in range(1, few + 1):
+        shift = many + i
+        if shift < len(counts):
+            counts[shift:] = counts[shift:] - counts[:-shift]
+        for start in range(i):
+            counts[start::i] = np.cumsum(counts[start::i])
+    total = counts.sum()
+    at_least = float(counts[int(math.ceil(u)) :].sum() / total)
+    at_most = float(counts[: int(math.floor(u)) + 1].sum() / total)
     if alternative == "greater":
         return at_least
     if alternative == "less":
@@ -188,11 +194,13 @@ def mannwhitney(
     col_b: str | None = None,
     alpha: float = 0.05,
     alternative: str = "two-sided",
+    exact_table: int = EXACT_TABLE,
 ) -> DataFrame:
     """Mann-Whitney U of sample a: average ranks, tie and continuity corrected normal p-value.
 
     Ranks come from counts per distinct value, so no row is ever joined back. With at most
-    eight rows on one side and no ties the exact distribution is used.
+    eight rows on one side and no ties the exact distribution is used, as long as its counts (one
+    per value of U, held by the driver) are at most ``exact_table``.
     """
     spark = df.sparkSession
     rows = two_group_extract(df, col_a, group_col, group_a, group_b, col_b)
@@ -209,7 +217,7 @@ def mannwhitney(
     n1, n2 = a[1], b[1]
     n = n1 + n2
     u = totals["rank_sum"] - n1 * (n1 + 1) / 2
-    if totals["ties"] == 0 and min(n1, n2) <= EXACT_RANK_ROWS and n1 * n2 <= 100_000:
+    if totals["ties"] == 0 and min(n1, n2) <= EXACT_RANK_ROWS and n1 * n2 <= exact_table:
         p = _exact_u_tail(u, n1, n2, alternative)
     else:
         sd = math.sqrt(n1 * n2 / 12 * ((n + 1) - totals["ties"] / (n * (n - 1))))

@@ -219,10 +219,10 @@ def cluster_summary(clusters: DataFrame, numeric_cols: Sequence[str]) -> DataFra
 
 
 def silhouette(clusters: DataFrame) -> DataFrame:
-    """Mean silhouette and its label. The distance is squared Euclidean, which needs only
-    per-cluster sums and so one pass; it reads higher than the plain Euclidean one."""
+    """Mean silhouette and the distance it is of. That is squared Euclidean, which needs only
+    per-cluster sums and so one pass; it reads higher than the plain Euclidean one, whose usual
+    grades (above 0.25, above 0.5) do not apply."""
     if clusters.select("cluster").distinct().limit(2).count() < 2:
         raise ValueError("one cluster only")
     value = ClusteringEvaluator(featuresCol="_scaled", predictionCol="cluster", metricName="silhouette").evaluate(clusters)
-    label = "well-separated" if value > 0.5 else "moderately separated" if value > 0.25 else "weak/overlapping structure"
-    return clusters.sparkSession.createDataFrame([(float(value), label)], "silhouette double, separation string")
+    return clusters.sparkSession.createDataFrame([(float(value), "squared_euclidean")], "silhouette double, distance string")

@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Sequence
 from dataclasses import fields
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import half_up
-from tablewise.operators import drift, features, logs, scoring
+from tablewise.operators import drift, features, scoring
 from tablewise.operators.train import Trained, meta_json, predict, train_supervised_model
+from tablewise.plans.shape import remove_path
 
 META_SCHEMA = (
     "model_id string, dataset_id string, target_col string, model_type string, task_type string, created_at double, "
     "is_champion boolean, metric double, meta string"
 )
+EVENT_SCHEMA = "model_id string, event string, at double"
+
+
+def _note(spark: SparkSession, folder: str, model_id: str, event: str) -> None:
+    """The store is append-only: what happens to a model is one more row."""
+    spark.createDataFrame([(model_id, event, time.time())], EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/events")
 
 
 def _metric(model: Trained) -> float | None:
@@ -33,11 +41,26 @@ def save_model(spark: SparkSession, model: Trained, folder: str) -> str:
         model.is_champion, None if metric is None else float(metric), meta_json(model),
     )
     spark.createDataFrame([row], META_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/meta")
+    _note(spark, folder, model.model_id, "saved")
     return model.model_id
 
 
 def list_models(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(META_SCHEMA).parquet(f"{folder}/meta").orderBy(F.col("created_at").desc(), "model_id")
+    """Stored models, newest first. The one promoted last is the champion of its (dataset, target)."""
+    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{folder}/events").groupBy("model_id").agg(
+        F.bool_or(F.col("event") == "deleted").alias("_gone"),
+        F.max(F.when(F.col("event") == "promoted", F.col("at"))).alias("_promoted"),
+    )
+    rows = spark.read.schema(META_SCHEMA).parquet(f"{folder}/meta").join(events, "model_id").where("NOT _gone")
+    last = F.max("_promoted").over(Window.partitionBy("dataset_id", "target_col"))
+    champion = F.when(last.isNotNull(), F.coalesce(F.col("_promoted") == last, F.lit(False))).otherwise(F.col("is_champion"))
+    names = [f.strip().split(" ")[0] for f in META_SCHEMA.split(",")]
+    return rows.withColumn("is_champion", champion).select(*names).orderBy(F.col("created_at").desc(), "model_id")
+
+
+def _known(spark: SparkSession, folder: str, model_id: str) -> None:
+    if list_models(spark, folder).where(F.col("model_id") == model_id).isEmpty():
+        raise ValueError(f"unknown model {model_id}")
 
 
 def load_model(spark: SparkSession, folder: str, model_id: str) -> Trained:
@@ -51,8 +74,11 @@ def load_model(spark: SparkSession, folder: str, model_id: str) -> Trained:
 
 
 def delete_model(spark: SparkSession, folder: str, model_id: str) -> DataFrame:
-    """Registry rows without the model; write them back to make it final."""
-    return list_models(spark, folder).where(F.col("model_id") != model_id)
+    """Removes the model's files and takes it off the list; returns the models that remain."""
+    _known(spark, folder, model_id)
+    _note(spark, folder, model_id, "deleted")
+    remove_path(spark, f"{folder}/models/{model_id}")
+    return list_models(spark, folder)
 
 
 def evaluate_trained_model(spark: SparkSession, model: Trained, df: DataFrame | None = None) -> DataFrame:
@@ -105,10 +131,13 @@ def model_drift(model: Trained, df: DataFrame) -> DataFrame:
     return drift.check_drift(df, stats_frame(df.sparkSession, model))
 
 
-def retrain_on_drift(model: Trained, scoring_rows: DataFrame, training_rows: DataFrame, key: Sequence[str], **train_args) -> DataFrame:
+def retrain_on_drift(
+    model: Trained, scoring_rows: DataFrame, training_rows: DataFrame, key: Sequence[str], folder: str | None = None, **train_args
+) -> DataFrame:
     """One row: whether drift was high, and how a retrained model compares.
 
-    The better model is the one to promote (higher accuracy, lower WMAPE).
+    The better model (higher accuracy, lower WMAPE) is promoted: with ``folder`` the retrained one
+    is saved there and the better of the two becomes the stored champion; ``model`` must be stored there.
     """
     spark = scoring_rows.sparkSession
     schema = "severity string, retrained boolean, old_metric double, new_metric double, promoted string, new_model_id string"
@@ -120,10 +149,16 @@ def retrain_on_drift(model: Trained, scoring_rows: DataFrame, training_rows: Dat
     fresh = train_supervised_model(training_rows, model.target_col, key, dataset_id=model.dataset_id, **train_args)
     new = _metric(fresh)
     better = new is not None and (old is None or (new > old if model.task_type == "classification" else new < old))
+    if folder is not None:
+        save_model(spark, fresh, folder)
+        promote_stored(spark, folder, fresh.model_id if better else model.model_id)
     return spark.createDataFrame(
         [(severity, True, half_up(old, 6), half_up(new, 6), fresh.model_id if better else model.model_id, fresh.model_id)], schema
     )
 
 
 def promote_stored(spark: SparkSession, folder: str, model_id: str) -> DataFrame:
-    return logs.promote(list_models(spark, folder), model_id)
+    """Makes the model the champion of its (dataset, target) for good; returns all models."""
+    _known(spark, folder, model_id)
+    _note(spark, folder, model_id, "promoted")
+    return list_models(spark, folder)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.columns import as_double, as_text, half_up, kinds, ref, require_between, require_columns
 from tablewise.operators import drift, evaluate, features, scoring
+from tablewise.operators.neighbours import Neighbours
 from tablewise.plans.nearest import nearest
 from tablewise.plans.ordering import row_index
 
@@ -39,6 +40,7 @@ SMOTE_RATIO = 10
 SMOTE_LIMITS = {"gradient_boosting": 5, "knn": 5}
 KNN_K = 5
 IMPORTANCE_TOP = 15
+TEXT_DIMS = 64
 SEED = 42
 FAMILIES = ("random_forest", "gradient_boosting", "decision_tree", "knn", "xgboost", "lightgbm")
 BOOSTED = ("gradient_boosting", "xgboost", "lightgbm")
@@ -47,7 +49,8 @@ AUTO = {
     "regression": ("ridge_regression", "random_forest", "gradient_boosting"),
 }
 GRIDS = {
-    "random_forest": {"trees": [100, 200, 300], "depth": [6, 12, 20], "leaf": [1, 2, 4]},
+    # A depth of 30 is Spark's deepest and stands for trees without a limit.
+    "random_forest": {"trees": [100, 200, 300], "depth": [6, 12, 20, 30], "leaf": [1, 2, 4]},
     "gradient_boosting": {"trees": [100, 200], "depth": [3, 5, 7], "step": [0.05, 0.1, 0.2]},
 }
 
@@ -200,19 +203,29 @@ def feature_expressions(df: DataFrame, roles: dict[str, str], target: str | None
                 parts["hour"] = f"hour({ts})"
             out.update({f"{c}__{p}": f"CAST(coalesce({e}, 0) AS DOUBLE)" for p, e in parts.items()})
     if interactions and len(nums) >= 2:
-        for r in features.fit_interactions(df, nums).collect():  # at most 50 rows
+        for r in features.fit_interactions(df, nums).collect():  # one row per pair of columns
             out[f"{r['left']} {r['right']}"] = f"({out[r['left']]}) * ({out[r['right']]})"
     return out
 
 
-def preprocessor(expressions: dict[str, str]) -> list:
-    """Transformer stages from raw columns to ``_features``."""
-    names = [f"_f{i}" for i in range(len(expressions))]
-    body = ", ".join(f"{e} AS {n}" for n, e in zip(names, expressions.values()))
-    return [
-        SQLTransformer(statement=f"SELECT *, {body} FROM __THIS__"),
-        VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep"),
-    ]
+def preprocessor(rows: DataFrame, expressions: dict[str, str], texts: Sequence[str] = ()) -> tuple[list, list[str]]:
+    """Transformer stages from raw columns to ``_features``, and the names of its entries.
+
+    A text column adds the dense vector that ``features.text_vectors`` learns from it; a missing
+    text counts as empty.
+    """
+    inputs = [f"_f{i}" for i in range(len(expressions))]
+    filled = [f"coalesce(CAST({_quoted(c)} AS STRING), '') AS _text{i}" for i, c in enumerate(texts)]
+    body = ", ".join(["*", *[f"{e} AS {n}" for n, e in zip(inputs, expressions.values())], *filled])
+    stages: list = [SQLTransformer(statement=f"SELECT {body} FROM __THIS__")]
+    names = list(expressions)
+    if texts:
+        ready = stages[0].transform(rows)
+        for i, c in enumerate(texts):
+            stages.extend(features.text_vectors(ready, f"_text{i}", dims=TEXT_DIMS, name=f"_vector{i}").stages)
+            inputs.append(f"_vector{i}")
+            names += [f"{c}__text_{j}" for j in range(TEXT_DIMS)]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep")], names
 
 
 # ---- estimators ----
@@ -250,6 +263,7 @@ def estimator(task: str, model_type: str, n: int, n_labels: int = 2, weighted: b
                 maxIter=p.get("trees", 100), maxDepth=p.get("depth", 3), stepSize=p.get("step", 0.1), seed=SEED, **common, **prob
             ),
             "decision_tree": lambda: DecisionTreeClassifier(maxDepth=8, seed=SEED, **common, **prob),
+            "knn": lambda: Neighbours(task, n_labels, p.get("k", KNN_K)),
         }
     else:
         linear = {**common, "standardization": False}
@@ -262,6 +276,7 @@ def estimator(task: str, model_type: str, n: int, n_labels: int = 2, weighted: b
             ),
             "gradient_boosting": lambda: GBTRegressor(maxIter=p.get("trees", 100), maxDepth=p.get("depth", 3), stepSize=p.get("step", 0.1), seed=SEED, **common),
             "decision_tree": lambda: DecisionTreeRegressor(maxDepth=8, seed=SEED, **common),
+            "knn": lambda: Neighbours(task, k=p.get("k", KNN_K)),
         }
     if family not in makers:
         raise ValueError(f"model_type must be one of {sorted(makers)} for {task}")
@@ -332,7 +347,7 @@ def fit_pipeline(
     """Fit preprocessing and model on ``train``; returns the pipeline and its input names."""
     rows = _labelled(train, task, target, labels)
     expressions = feature_expressions(train if task == "regression" else rows, roles, target if task == "regression" else "_label", interactions)
-    stages = preprocessor(expressions)
+    stages, names = preprocessor(rows, expressions, [c for c, r in roles.items() if r == "text"])
     ready = rows
     for s in stages:
         ready = s.transform(ready)
@@ -342,7 +357,7 @@ def fit_pipeline(
         for c in encoded:
             i = list(expressions).index(f"{c}__target")
             ready = features.target_encode(ready.drop(f"_f{i}"), c, y, fold_column(key, 5), name=f"_f{i}")
-        ready = stages[1].transform(ready.drop("_features"))
+        ready = stages[-1].transform(ready.drop("_features"))
     weighted = task == "classification"
     if weighted:
         weights = {r["label"]: r["weight"] for r in scoring.class_weights(ready, "_label").collect()}
@@ -356,7 +371,7 @@ def fit_pipeline(
         ready = flat.select("_label", "_v").unionByName(made).select("_label", array_to_vector("_v").alias("_features"), F.lit(1.0).alias("_weight"))
     n = ready.count()
     model = estimator(task, model_type, n, len(labels), weighted, params).fit(ready)
-    return PipelineModel(stages=[*stages, model]), list(expressions)
+    return PipelineModel(stages=[*stages, model]), names
 
 
 def _raw_scores(pipeline: PipelineModel, df: DataFrame, task: str) -> DataFrame:
@@ -531,7 +546,7 @@ def train_supervised_model(
         counts = {r["v"]: r["n"] for r in rows.groupBy(as_text(rows, target_col).alias("v")).agg(F.count("*").alias("n")).collect()}
     labels = sorted(counts)
     roles = {r["feature"]: r["role"] for r in features.split_feature_types(rows, chosen).collect()}
-    roles = {c: r for c, r in roles.items() if r not in ("dropped", "text")}
+    roles = {c: r for c, r in roles.items() if r != "dropped"}
     n = rows.count()
     dates, nums = [c for c, r in roles.items() if r == "datetime"], [c for c, r in roles.items() if r == "numeric"]
     lag_config = None

@@ -83,6 +83,17 @@ def _remove(jvm, conf, paths: list[str]) -> None:
             return
 
 
+def path_exists(spark, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove_path(spark, path: str) -> bool:
+    """Delete a file or folder with all it holds; whether there was one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def remove_at_exit(spark, path: str) -> None:
     """Delete a scratch folder when the driver ends."""
     sc = spark.sparkContext

@@ -10,17 +10,25 @@ from pyspark.sql import functions as F
 
 from tablewise.functions.columns import ref
 from tablewise.operators.sql import ACTIVE_VIEW, safe_view_name
+from tablewise.plans.shape import path_exists
 from tablewise.sources.tables import normalize
 
 META_SCHEMA = "dataset_id string, filename string, path string, n_rows bigint, n_cols int, columns array<string>, registered_at double"
+ACTIVE_SCHEMA = "dataset_id string, set_at double"
 EDA_INSIGHTS = 8
 
 
 class Datasets:
-    """A folder of datasets. Every table is one parquet directory, metadata rows are appended."""
+    """A folder of datasets. Every table is one parquet directory, metadata rows are appended.
+
+    The active dataset is stored as well: a new session on the folder goes on with it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.active = spark, folder.rstrip("/"), None
+        if path_exists(spark, f"{self.folder}/active"):
+            chosen = spark.read.schema(ACTIVE_SCHEMA).parquet(f"{self.folder}/active").agg(F.max_by("dataset_id", "set_at")).first()[0]
+            self._show(chosen)
 
     def register(self, df: DataFrame, filename: str, make_active: bool = True) -> str:
         dataset_id = uuid.uuid4().hex
@@ -47,6 +55,11 @@ class Datasets:
         return self.spark.read.parquet(self.meta(dataset_id)["path"])
 
     def set_active(self, dataset_id: str) -> None:
+        self._show(dataset_id)
+        row = self.spark.createDataFrame([(dataset_id, time.time())], ACTIVE_SCHEMA)
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/active")
+
+    def _show(self, dataset_id: str) -> None:
         df = self.spark.read.parquet(self.meta(dataset_id)["path"])
         df.createOrReplaceTempView(ACTIVE_VIEW)
         self.active = dataset_id

@@ -1,11 +1,14 @@
 """Log analytics over streams: the same measures with watermarks and windows.
 
-Each function turns a streaming log into a streaming aggregate; ``into_table`` writes every
-update as one parquet version, so a restarted query repeats a version instead of adding rows.
+Each function turns a streaming log into a streaming aggregate. Every batch writes one parquet
+version, so a restarted query repeats a version instead of adding rows: ``into_updates`` the
+windows a batch changed, ``into_table`` the whole of a result of few rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +74,28 @@ def into_table(result: DataFrame, folder: str, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
 
 
+def into_updates(result: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep what each batch changed under ``folder/version=<n>``.
+
+    For windowed aggregates: update mode writes only the windows a batch touched and drops those
+    behind the watermark from the state. ``latest_rows`` reads the newest value of every window.
+    """
+
+    def write(batch: DataFrame, version: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+    writer = result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
+
+
+def latest_rows(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """Newest row of every key that ``into_updates`` wrote."""
+    rows = spark.read.parquet(folder)
+    values = [ref(c) for c in rows.columns if c not in (*keys, "version")]
+    newest = rows.groupBy(*[ref(k) for k in keys]).agg(F.max_by(F.struct(*values), "version").alias("_row"))
+    return newest.select(*[ref(k) for k in keys], "_row.*")
+
+
 def latest_version(spark: SparkSession, folder: str) -> DataFrame:
     versions = spark.read.parquet(folder)
     newest = versions.agg(F.max("version").alias("v")).first()["v"]

@@ -112,6 +112,12 @@ def _stream(t):
     return stream_logs.read_log(t.spark, f"{t.folder}/event[s].parquet", t.events.schema)
 
 
+def _windows(t, result, *keys):
+    folder = scratch(t)
+    stream_logs.into_updates(result, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return stream_logs.latest_rows(t.spark, f"{folder}/out", keys)
+
+
 def _finished(t, result):
     folder = scratch(t)
     stream_logs.into_table(result, f"{folder}/out", f"{folder}/state").awaitTermination()
@@ -123,7 +129,7 @@ def _finished(t, result):
     "SELECT ts::DATE::VARCHAR AS day, round(avg(value), 2) AS avg_score, count(*) AS n, min(value) AS min_score, max(value) AS max_score FROM events GROUP BY 1",
 )
 def _(t):
-    out = _finished(t, stream_logs.daily_quality(_stream(t), "ts", "value"))
+    out = _windows(t, stream_logs.daily_quality(_stream(t), "ts", "value"), "day")
     return out.withColumn("day", F.col("day").cast("string"))
 
 
@@ -134,7 +140,7 @@ def _(t):
 )
 def _(t):
     log = _stream(t).withColumn("ok", F.col("event_type") != "error")
-    out = _finished(t, stream_logs.windowed_calls(log, "ts", "event_type", "ok", "user_id"))
+    out = _windows(t, stream_logs.windowed_calls(log, "ts", "event_type", "ok", "user_id"), "window_start", "operation")
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 

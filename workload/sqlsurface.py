@@ -114,10 +114,10 @@ sql_pair(
     "orders",
     """WITH big AS (SELECT o_custkey, max(o_totalprice) AS top FROM t GROUP BY o_custkey)
        SELECT o.o_custkey, o.o_orderkey, (SELECT round(avg(o_totalprice), 4) FROM t ) AS overall FROM t o JOIN big b ON o.o_custkey = b.o_custkey
-       WHERE o.o_totalprice = b.top AND o.o_totalprice > (SELECT 2.5 * avg(i.o_totalprice) FROM t i WHERE i.o_orderpriority = o.o_orderpriority)""",
+       WHERE o.o_totalprice = b.top AND o.o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM t i WHERE i.o_orderpriority = o.o_orderpriority)""",
     """WITH big AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey)
        SELECT o.o_custkey, o.o_orderkey, (SELECT round(avg(o_totalprice), 4) FROM orders) AS overall FROM orders o JOIN big b ON o.o_custkey = b.o_custkey
-       WHERE o.o_totalprice = b.top AND o.o_totalprice > (SELECT 2.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_orderpriority = o.o_orderpriority)""",
+       WHERE o.o_totalprice = b.top AND o.o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_orderpriority = o.o_orderpriority)""",
 )
 sql_pair(
     "sql_scalar_functions",
