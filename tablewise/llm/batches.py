@@ -6,6 +6,7 @@ as one byte array with document offsets, so that numpy handles many documents at
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 
@@ -55,6 +56,17 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return what this worker has freed to the machine. Workers serve many tasks, and what each of an
+    executor's workers holds on to adds up."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES):
     """Yield (rows, bytes, offsets): consecutive rows of at most ``limit`` bytes, or one longer row."""
     for batch in batches:
@@ -66,6 +78,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first), raw[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last
+        del batch, raw, at
+        give_back()
 
 
 def pieces(raw: np.ndarray, at: np.ndarray, apart: np.ndarray) -> tuple[pa.Array, np.ndarray]:
