@@ -212,8 +212,7 @@ def detect_leakage(
         codes = row_index(levels, ["_level"], name="_code")
         rows = df.withColumn("_level", as_text(df, target_col)).join(codes, "_level", "left")
         target = F.coalesce(F.col("_code"), F.lit(-1)).cast("double")  # a missing category has code -1
-    agg = rows.agg(*[pearson(as_double(df, c), target).alias(f"r{i}") for i, c in enumerate(nums)])
-    found = agg.first() if nums else {}
+    found = rows.agg(*[pearson(as_double(df, c), target).alias(f"r{i}") for i, c in enumerate(nums)]).first() if nums else {}
     out, flagged = [], set()
     for i, c in enumerate(nums):
         r = found[f"r{i}"]

@@ -158,14 +158,6 @@ def _(t):
     return t.spark.createDataFrame(list(enumerate(cv["scores"])), "fold int, score double")
 
 
-@query("train_text_classifier_toxic")
-def _(t):
-    """The text alone decides the label: accuracy beside that of always naming the larger class."""
-    rows = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", "toxic"), "doc_id")
-    model = train.train_supervised_model(rows, "toxic", ["doc_id"], ["text"], task_hint="classification", model_type="logistic_regression")
-    return train.evaluation_rows(t.spark, model)
-
-
 @query("train_knn_regressor_parts")
 def _(t):
     return train.evaluation_rows(t.spark, train.train_supervised_model(price_table(t), "p_retailprice", ["p_partkey"], model_type="knn"))
