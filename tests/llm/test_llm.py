@@ -381,6 +381,43 @@ def test_near_copies(spark, empty):
     assert near_copies(empty).count() == 0
 
 
+def brute_components(rows, width=5, similarity=0.8):
+    sets = {}
+    for key, text in rows:
+        w = words(text)
+        n = min(width, len(w)) or 1
+        sets[key] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    group = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return group
+
+
+def test_near_copies_lose_no_link_above_the_limit(spark, monkeypatch):
+    from tablewise.llm import near_copies
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        base = prose(rng, 150).split()
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 4):  # up to four changed words: similarities of about 0.76 to 0.87
+            other = list(base)
+            for at in rng.sample(range(6, 144), rng.choice((2, 3, 4))):
+                other[at] = f"x{rng.randrange(10**9)}"
+            rows.append((10 * i + k, " ".join(other)))
+    want = brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == want
+    assert 60 < len(set(want.values())) < 240
+    # the same by way of leaders
+    monkeypatch.setattr(near_copies, "LIST_LIMIT", 1)
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == want
+
+
 # --- 4
 
 
