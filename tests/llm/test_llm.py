@@ -418,6 +418,24 @@ def test_near_copies_lose_no_link_above_the_limit(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == want
 
 
+def test_near_copies_are_alike_by_sets_only(spark):
+    from tablewise.llm.near_copies import keep_first, near_copies
+
+    rng = random.Random(13)
+    line = "one two three four five six seven "
+    # the same line 60 times, then words of each text's own
+    rows = [(i, line * 60 + prose(rng, 40)) for i in range(4)]
+    # equal sets, other repeat counts: the first sixty words once or nine times
+    cycle = prose(rng, 60) + " "
+    tail = prose(rng, 300)
+    rows += [(10, cycle * 2 + tail), (11, cycle * 9 + tail)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == want
+    assert want == {0: 0, 1: 1, 2: 2, 3: 3, 10: 10, 11: 10}
+    assert {r.doc_id for r in keep_first(docs).collect()} == {0, 1, 2, 3, 10}
+
+
 # --- 4
 
 
