@@ -141,14 +141,14 @@ def _(t):
 @query("auto_select_model_parts")
 def _(t):
     rows = price_table(t)
-    best = train.auto_select_model(rows, "p_retailprice", {"p_size": "numeric", "p_brand": "one_hot"}, "regression", ["p_partkey"], params={"trees": 5, "depth": 3})
+    best = train.auto_select_model(rows, "p_retailprice", {"p_size": "numeric", "p_brand": "one_hot"}, "regression", ["p_partkey"])
     return t.spark.createDataFrame([(best,)], "model_type string")
 
 
 @query("tune_forest_parts")
 def _(t):
     roles = {"p_size": "numeric", "p_brand": "one_hot"}
-    best = train.tune(price_table(t), "p_retailprice", roles, "regression", "random_forest", ["p_partkey"], draws=2, grid={"trees": [5, 10], "depth": [3, 5]})
+    best = train.tune(price_table(t), "p_retailprice", roles, "regression", "random_forest", ["p_partkey"])
     return t.spark.createDataFrame([(k, float(v)) for k, v in best.items()], "parameter string, value double")
 
 
@@ -195,10 +195,10 @@ def _(t):
 @query("text_vectors_documents")
 def _(t):
     docs = t.documents.select("doc_id", "text")
-    fitted = features.text_vectors(docs, "text", dims=8, features=256, name="vector")
+    fitted = features.text_vectors(docs, "text", name="vector")
     from pyspark.ml.functions import vector_to_array
 
-    return fitted.transform(docs).select("doc_id", F.size(vector_to_array("vector")).alias("dims"))
+    return fitted.transform(docs).select("doc_id", vector_to_array("vector").alias("vector"))
 
 
 # ---- scoring and explanation ----
@@ -222,12 +222,12 @@ def _(t):
 @query("retrain_on_drift_parts")
 def _(t):
     fresh = price_table(t).withColumn("p_size", F.col("p_size") + 60)
-    return models.retrain_on_drift(_price_model(t), fresh, price_table(t), ["p_partkey"]).drop("promoted", "new_model_id")
+    return models.retrain_on_drift(_price_model(t), fresh, price_table(t), ["p_partkey"])
 
 
 @query("permutation_importance_parts")
 def _(t):
-    return explain.permutation_importance(_price_model(t), price_table(t), ["p_partkey"], n_repeats=3)
+    return explain.permutation_importance(_price_model(t), price_table(t), ["p_partkey"])
 
 
 _COEFS = {"l_quantity": 1500.0, "l_discount": -20000.0, "l_tax": 0.5}
@@ -263,7 +263,7 @@ def _(t):
 
 @query("shapley_sampling_parts")
 def _(t):
-    return explain.shapley_sampling(_price_model(t), price_table(t), ["p_partkey"], draws=4)
+    return explain.shapley_sampling(_price_model(t), price_table(t), ["p_partkey"])
 
 
 @query("partial_dependence_parts")

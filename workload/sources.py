@@ -97,7 +97,7 @@ def _(t):
 
 @query("auto_insights_orders")
 def _(t):
-    return insights.auto_insights(t.orders, ["o_orderkey"], trees=100)
+    return insights.auto_insights(t.orders, ["o_orderkey"])
 
 
 @query("analysis_context_orders")
