@@ -117,3 +117,11 @@ def media(spark, folder):
         "image_id", F.floor(F.col("image_id") / 3).alias("page_id"), (F.col("image_id") % 3).cast("int").alias("variant"),
         "class_id", "n_links",
     )
+
+
+@_query("op13_resampling")
+def resampling(spark, folder):
+    from tablewise.llm.resample import importance_resample
+
+    found = importance_resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
