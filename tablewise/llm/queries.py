@@ -125,3 +125,13 @@ def resampling(spark, folder):
 
     found = importance_resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query("op11_conversation_repair")
+def conversation_repair(spark, folder):
+    from pyspark.sql import functions as F
+
+    from tablewise.llm.turns import damaged, repair_conversations, repair_digests
+
+    turns, plans = repair_conversations(damaged(_table(spark, folder, "conversations")), F.col("copies"))
+    return repair_digests(turns, plans)
