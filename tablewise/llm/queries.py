@@ -135,3 +135,11 @@ def conversation_repair(spark, folder):
 
     turns, plans = repair_conversations(damaged(_table(spark, folder, "conversations")), F.col("copies"))
     return repair_digests(turns, plans)
+
+
+@_query("op12_html_extraction")
+def html_extraction(spark, folder):
+    from tablewise.llm.extract import extract_text, fit_labeller
+
+    pages = _table(spark, folder, "pages")
+    return extract_text(pages, fit_labeller(pages))
