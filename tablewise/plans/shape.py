@@ -113,7 +113,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tablewise-{uuid.uuid4().hex}"
     df.write.parquet(path)
     remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` made, once nothing reads them any more."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path is not None:
+            remove_path(table.sparkSession, path)
 
 
 def steady(df: DataFrame) -> DataFrame:
