@@ -117,85 +117,123 @@ def anchor_names(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
 # --- sorting ---------------------------------------------------------------------------------
 
 
-def _group_ids(group: np.ndarray, key: np.ndarray) -> np.ndarray:
-    new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
-    return np.cumsum(new) - 1
-
-
-def sort_suffixes(raw: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+#: A difference of two words is at least the k-th of these if their first unequal byte has k behind it.
+_BYTE_STEPS = np.array([1 << 8 * k for k in range(8)], np.uint64)
+
+
+class _Open:
+    """The suffixes that lie in open groups: their places in the order, numbers, and where groups begin."""
+
+    def __init__(self, n: int, owner: np.ndarray | None):
+        self.at, self.suffix, self.owner = np.arange(n), np.arange(n), owner
+        self.head = np.zeros(n, bool)
+        self.head[:1] = True
+
+    def keep(self, members: np.ndarray) -> None:
+        self.at, self.suffix, self.head = self.at[members], self.suffix[members], self.head[members]
+
+    def groups(self) -> np.ndarray:
+        return np.cumsum(self.head) - 1
+
+    def close(self) -> None:
+        """Leave out groups of one suffix and, where owners are known, of one owner."""
+        inner = ~self.head
+        if self.owner is not None and len(inner):
+            mine = self.owner[self.suffix]
+            inner[1:] &= mine[1:] != mine[:-1]
+        group = self.groups()
+        open_ = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+        open_[group[inner]] = True
+        self.keep(open_[group])
+
+    def sort(self, members: np.ndarray, key: np.ndarray, order: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Sort some whole groups by keys that begin with the group's number; returns the permutation."""
+        by = np.argsort(key)
+        key = key[by]
+        self.suffix[members] = self.suffix[members[by]]
+        self.head[members[1:]] |= key[1:] != key[:-1]
+        order[self.at[members]] = self.suffix[members]
+        head[self.at[members]] = self.head[members]
+        return by
+
+
+def sort_suffixes(
+    raw: np.ndarray, places: np.ndarray, depth: int, owner: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``places`` by their first ``depth`` bytes, and the group of equal ones
-    that each belongs to, in that order. ``raw`` must have 8 bytes after the last suffix."""
+    that each belongs to, in that order. ``raw`` must have 8 bytes after the last suffix. With ``owner``,
+    a group whose suffixes all have one owner is left as it is."""
     n = len(places)
-    order, group = np.arange(n), np.zeros(n, np.int64)
+    order, head = np.arange(n), np.zeros(n, bool)
     if n < 2:
-        return order, group
+        return order, np.zeros(n, np.int64)
+    head[0] = True
     words = words_at(raw)
-
-    def word(where, offset):
-        left = depth - offset
-        value = words[places[where] + offset].astype(np.uint64)
-        return value if left >= 8 else value & ~np.uint64((1 << 8 * (8 - left)) - 1)
-
-    # Multikey quicksort, eight bytes a key: a group is partitioned by its next key, and only groups of
-    # two or more go on.
+    live = _Open(n, owner)
+    # Multikey quicksort: a group is partitioned by its next bytes, as many as fit into a key behind the
+    # group's number. Groups that agree in them are left alone, those that are done go no further.
     offset = 0
     while offset < min(SHALLOW, depth):
-        size = np.bincount(group)
-        live = np.flatnonzero(size[group] > 1)
-        if not len(live):
-            return order, group
-        key = word(order[live], offset)
-        by = np.argsort(key, kind="stable")
-        by = by[np.argsort(group[live][by], kind="stable")]
-        order[live] = order[live][by]
-        full = np.zeros(n, np.uint64)
-        full[live] = key[by]
-        group = _group_ids(group, full)
-        offset += 8
+        live.close()
+        if not len(live.at):
+            return order, np.cumsum(head) - 1
+        group = live.groups()
+        width = min(8, (64 - int(group[-1]).bit_length()) // 8, depth - offset)
+        key = words[places[live.suffix] + offset].astype(np.uint64) >> np.uint64(64 - 8 * width)
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[key != key[live.head][group]]] = True
+        members = np.flatnonzero(mixed[group])
+        key = key[members]
+        if width < 8:
+            key |= group[members].astype(np.uint64) << np.uint64(8 * width)
+        live.sort(members, key, order, head)
+        offset += width
     # Blind tries, all groups at once: members are compared with their group's first one, the path of
     # the trie; each leaves the path at the byte where they differ. A member that is smaller there goes
     # before the path (those that leave first in front), a larger one behind it (those that leave last
     # in front); members that leave at one place with one byte form the next, smaller trie.
-    known = np.full(n, min(offset, depth), np.int64)
+    known = np.full(n, min(offset, depth), np.int64)  # by suffix
+    bits = (2 * depth << 8 | 255).bit_length()
     while True:
-        size = np.bincount(group)
-        live = np.flatnonzero((size[group] > 1) & (known < depth))
-        if not len(live):
-            return order, group
-        g = group[live]
-        lead_at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        lead = np.repeat(live[lead_at], np.diff(np.append(lead_at, len(live))))
-        common = known[live].copy()
-        byte = np.zeros(len(live), np.int64)
-        less = np.zeros(len(live), bool)
-        open_ = np.arange(len(live))
+        live.close()
+        live.keep(known[live.suffix] < depth)
+        if not len(live.at):
+            return order, np.cumsum(head) - 1
+        group, own = live.groups(), places[live.suffix]
+        path = own[live.head]
+        # members of a group are known equally far
+        reach = known[live.suffix[live.head]]
+        common = np.full(len(own), depth)
+        byte = np.zeros(len(own), np.int64)
+        less = np.zeros(len(own), bool)
+        open_ = np.flatnonzero(~live.head)
         while len(open_):
-            at = common[open_]
-            x = words[places[order[live[open_]]] + at].astype(np.uint64)
-            y = words[places[order[lead[open_]]] + at].astype(np.uint64)
+            mine = group[open_]
+            x = words[own[open_] + reach[mine]].astype(np.uint64)
+            y = words[path + np.minimum(reach, depth)].astype(np.uint64)[mine]
             differ = x ^ y
-            # equal leading bytes of the two words
-            same = np.full(len(open_), 8)
-            for b in range(8):
-                same[(same == 8) & ((differ >> np.uint64(56 - 8 * b)) & np.uint64(255) != 0)] = b
-            got = np.minimum(at + same, depth)
-            end = (same < 8) & (at + same < depth)
-            shift = (np.uint64(56) - 8 * np.minimum(same, 7).astype(np.uint64)).astype(np.uint64)
-            byte[open_[end]] = ((x >> shift) & np.uint64(255))[end]
-            less[open_[end]] = (x < y)[end]
-            common[open_] = got
-            open_ = open_[(same == 8) & (got < depth)]
+            stop = np.flatnonzero(differ)
+            same = 8 - np.searchsorted(_BYTE_STEPS, differ[stop], "right")
+            got = reach[mine[stop]] + same
+            inside = got < depth
+            stop, same, got = stop[inside], same[inside], got[inside]
+            shift = np.uint64(56) - np.uint64(8) * same.astype(np.uint64)
+            left = open_[stop]
+            common[left] = got
+            byte[left] = (x[stop] >> shift) & np.uint64(255)
+            less[left] = x[stop] < y[stop]
+            open_ = open_[differ == 0]
+            reach = reach + 8
+            open_ = open_[reach[group[open_]] < depth]
         away = common < depth
-        # before the path: ascending place of leaving; the path; behind it: descending
-        side = np.where(~away, depth, np.where(less, common, 2 * depth - common))
-        rank = (side << 8) | byte
-        by = np.argsort(rank, kind="stable")
-        by = by[np.argsort(g[by], kind="stable")]
-        order[live] = order[live][by]
-        known[live] = np.where(away, common + 1, depth)[by]
-        full = np.full(n, -1, np.int64)
-        full[live] = rank[by]
-        group = _group_ids(group, full)
+        mixed = np.zeros(len(path), bool)
+        mixed[group[away]] = True
+        known[live.suffix] = np.where(away, common + 1, depth)
+        members = np.flatnonzero(mixed[group])
+        if len(members):
+            # before the path: ascending place of leaving; the path; behind it: descending
+            side = np.where(~away, depth, np.where(less, common, 2 * depth - common))[members]
+            live.sort(members, (group[members] << bits) | (side << 8) | byte[members], order, head)
 
 
 # --- tasks -----------------------------------------------------------------------------------
@@ -381,21 +419,39 @@ def _repeats(length: int):
         names = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
         starts = np.concatenate([np.frombuffer(r["starts"], "<u4") for r in rows]).astype(np.int64)
         parts = np.concatenate([np.full(len(r["sizes"]) // 4, r["part"], np.int32) for r in rows])
-        raw = _padded(np.frombuffer(b"".join(r["texts"] for r in rows), np.uint8))
-        text_at = np.concatenate([[0], np.cumsum(windows + length - 1)])[:-1]
-        places = spread_indices(text_at, windows)
-        owner = np.repeat(np.arange(len(windows)), windows)
-        order, group = sort_suffixes(raw, places, length)
+        body = np.frombuffer(b"".join(r["texts"] for r in rows), np.uint8)
+        # Runs of one text: those of its smallest document are sorted, once; all others are repeats.
+        run_at = np.concatenate([[0], np.cumsum(windows + length - 1)])
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(windows), [None, pa.py_buffer(run_at), pa.py_buffer(body)])
+        text = texts.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        least = np.full(int(text.max()) + 1, NO_KEY)
+        np.minimum.at(least, text, keys)
+        first = keys == least[text]
+        later = np.flatnonzero(~first)
+        by_text = np.flatnonzero(first)
+        by_text = by_text[np.argsort(text[by_text], kind="stable")]
+        number = np.bincount(text[by_text], minlength=len(least))
+        shown = by_text[np.concatenate([[0], np.cumsum(number)[:-1]])]  # one run of each text
+        raw = _padded(body)
+        places = spread_indices(run_at[shown], windows[shown])
+        owner = np.repeat(np.arange(len(shown)), windows[shown])
+        order, group = sort_suffixes(raw, places, length, least[owner])
         heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.repeat(np.minimum.reduceat(keys[owner[order]], heads), np.diff(np.append(heads, len(order))))
-        again = np.sort(order[keys[owner[order]] > least])
+        lowest = np.repeat(np.minimum.reduceat(least[owner[order]], heads), np.diff(np.append(heads, len(order))))
+        again = np.sort(order[least[owner[order]] > lowest])
         # neighbouring windows of a run as one span
         own = owner[again]
         cut = np.concatenate([[True], (again[1:] != again[:-1] + 1) | (own[1:] != own[:-1])])[: len(again)]
         head = np.flatnonzero(cut)
         count = np.diff(np.append(head, len(again)))
-        begin = starts[own[head]] + places[again[head]] - text_at[own[head]]
-        return _spans(parts[own[head]], names[own[head]], begin, count)
+        inside, of_text = places[again[head]] - run_at[shown[own[head]]], own[head]
+        # for every run of the text in its smallest document
+        times = number[of_text]
+        mine = by_text[spread_indices((np.cumsum(number) - number)[of_text], times)]
+        begin = np.concatenate([starts[mine] + np.repeat(inside, times), starts[later]])
+        count = np.concatenate([np.repeat(count, times), windows[later]])
+        mine = np.concatenate([mine, later])
+        return _spans(parts[mine], names[mine], begin, count)
 
     return run
 
