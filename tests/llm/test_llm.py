@@ -473,3 +473,16 @@ def test_pipeline_stages_keep_columns(spark):
             assert docs.columns == columns
             assert 0 < docs.count() <= before
     assert docs.agg({"length": "max"}).first()[0] <= 2048
+
+
+def test_sketches_bound_the_difference():
+    from tablewise.llm.near_copies import sketch, sketch_distance
+
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 250, 257, 3000):
+        for m in (0, 1, 300, 5000):
+            for part in (0.0, 0.7, 1.0):
+                x = rng.integers(0, 2**64, n, np.uint64)
+                y = np.concatenate([x[: int(part * n)], rng.integers(0, 2**64, m, np.uint64)])
+                apart = len(np.setxor1d(x, y))
+                assert sketch_distance(sketch(np.unique(x)), sketch(np.unique(y))) <= apart
