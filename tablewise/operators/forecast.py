@@ -6,14 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.columns import as_double, ref, require_columns
 from tablewise.operators.features import lag_features
-from tablewise.operators.train import Trained, predict
+from tablewise.operators.train import ArrayScorer, Trained, model_arrays, model_vectors, predict
 from tablewise.operators.trend import as_timestamp
+from tablewise.plans.jobs import list_matrix
 from tablewise.plans.ordering import row_index
 from tablewise.plans.shape import null_safe_join, steady
 
@@ -189,8 +191,9 @@ def ml_rollout(model: Trained, df: DataFrame, horizon: int, key: Sequence[str] =
     """``series..., step, date, prediction``: each step scores the newest row of every series and
     appends the result as the next row (target and lag columns alike).
 
-    The state is one row per series with its last few values, checkpointed every few steps so
-    that the plan stays short at any horizon.
+    The state is one row per series with its last few values. Inputs that need no prediction are made for all steps
+    by the model's own preprocessing; one task then walks all steps of many series, so the plan does not grow
+    with the horizon.
     """
     c = model.lag_config
     if model.task_type != "regression" or not c:
@@ -222,6 +225,84 @@ def ml_rollout(model: Trained, df: DataFrame, horizon: int, key: Sequence[str] =
         for w in windows:
             past = F.slice(h, -(w + 1), w)
             made[f"{x}__roll_mean_{w}"] = F.aggregate(past, F.lit(0.0), lambda acc, v: acc + v) / w
+    # dates do not depend on what is predicted: all of them are made first
+    walk = F.aggregate(
+        F.sequence(F.lit(1), F.lit(horizon)), F.array("_when"),
+        lambda seen, _: F.concat(seen, F.array(_next(F.element_at(seen, -1), F.col("_step"), F.lit(1)))),
+    )
+    repeated = [x for x in carried if x == target or x in lag_cols]
+    simple = all(isinstance(state.schema[x].dataType, (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType)) for x in repeated)
+    if model_arrays(model) is None or not simple:
+        return _rollout_by_steps(model, df, state, horizon, made, series, sort_col, carried, repeated, lag_cols, need)
+    walked = state.withColumn("_walk", walk).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    walked = walked.withColumn("_when", F.element_at("_walk", F.col("step"))).withColumn("date", F.to_date(F.element_at("_walk", F.col("step") + 1)))
+    inputs = walked.drop("_walk").withColumns(made)
+    if sort_col in model.feature_cols:
+        inputs = inputs.withColumn(sort_col, F.col("_when").cast(df.schema[sort_col].dataType))
+    past = F.array(*[F.col(f"_h_{x}") for x in lag_cols])
+    rows = model_vectors(model, inputs, [*[ref(x) for x in series], F.col("step"), F.col("date"), past.alias("_past")])
+    return rows.mapInArrow(_rollout_task(model, horizon, series, repeated, state.schema), T.StructType(
+        [*[rows.schema[x] for x in series], T.StructField("step", T.IntegerType()), T.StructField("date", T.DateType()), T.StructField("prediction", T.DoubleType())]
+    ))
+
+
+def _rollout_task(model: Trained, horizon: int, series: Sequence[str], repeated: Sequence[str], schema: T.StructType):
+    """All steps of many series at once. The rows of a series lie side by side, one for each step, with inputs as far as
+    they do not depend on predictions; the inputs that do are made anew from the values before each step."""
+    c = model.lag_config
+    lags, windows, lag_cols = c["lags"], c["windows"], c["lag_cols"]
+    scorer = ArrayScorer(model)
+    scale = {n: t["scale"] for n, t in zip(model.feature_names, model.terms)}
+    place = {n: i for i, n in enumerate(model.feature_names)}
+    whole = {x for x in repeated if isinstance(schema[x].dataType, (T.LongType, T.IntegerType, T.ShortType))}
+    single = {x for x in repeated if isinstance(schema[x].dataType, T.FloatType)}
+
+    def put(x, name, values):
+        if name in place:
+            fill, mean, std = scale[name]
+            x[:, place[name]] = (np.where(np.isnan(values), fill, values) - mean) / std
+
+    def roll(table: pa.Table) -> np.ndarray:
+        n = table.num_rows // horizon
+        inputs = list_matrix(table.column("_x").combine_chunks()).reshape(n, horizon, -1)
+        past = table.column("_past").combine_chunks().take(pa.array(np.arange(n) * horizon))
+        history = list_matrix(past.flatten()).reshape(n, len(lag_cols), -1)
+        out, last = np.empty((n, horizon)), None
+        for s in range(horizon):
+            x = inputs[:, s].copy()
+            for k, name in enumerate(lag_cols):
+                for lag in lags:
+                    put(x, f"{name}__lag_{lag}", history[:, k, -(lag + 1)])
+                for w in windows:
+                    end = history.shape[2] - 1
+                    put(x, f"{name}__roll_mean_{w}", history[:, k, end - w : end].sum(1) / w)
+            if last is not None:
+                for name in repeated:
+                    put(x, name, np.trunc(last) if name in whole else last.astype(np.float32).astype(float) if name in single else last)
+            for i, left, right in scorer.products:
+                x[:, i] = x[:, left] * x[:, right]
+            last = out[:, s] = scorer.value(scorer.arrays.raw(x))
+            history = np.concatenate([history[:, :, 1:], np.repeat(last[:, None, None], len(lag_cols), 1)], 2)
+        return out.reshape(-1)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        names = [*series, "step", "date"]
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            full = table.num_rows // horizon * horizon
+            if full:
+                ready = table.slice(0, full).combine_chunks()
+                columns = [ready.column(c).combine_chunks() for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(roll(ready))], [*names, "prediction"])
+            held = table.slice(full).to_batches()
+
+    return run
+
+
+def _rollout_by_steps(model, df, state, horizon, made, series, sort_col, carried, repeated, lag_cols, need) -> DataFrame:
+    """The same by the model's own pipeline, one scoring a step, for models without arrays."""
     out = None
     for s in range(1, horizon + 1):
         inputs = state.withColumns(made)
@@ -232,10 +313,7 @@ def ml_rollout(model: Trained, df: DataFrame, horizon: int, key: Sequence[str] =
             *[ref(x) for x in series],
             "_when",
             "_step",
-            *[
-                (F.col("prediction").cast(state.schema[x].dataType) if x == target or x in lag_cols else ref(x)).alias(x)
-                for x in carried
-            ],
+            *[(F.col("prediction").cast(state.schema[x].dataType) if x in repeated else ref(x)).alias(x) for x in carried],
             *[F.concat(F.slice(f"_h_{x}", 2, need), F.array("prediction")).alias(f"_h_{x}") for x in lag_cols],
             F.col("prediction").alias("_pred"),
         )

@@ -10,11 +10,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
+    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 from tablewise.functions.columns import as_double, as_text, half_up, kinds, ref, require_between, require_columns
 from tablewise.operators import drift, evaluate, features, scoring
 from tablewise.operators.neighbours import Neighbours
+from tablewise.plans.ensembles import FittedArrays, arrays_of
+from tablewise.plans.jobs import list_matrix, side_by_side
 from tablewise.plans.nearest import nearest
 from tablewise.plans.ordering import row_index
+from tablewise.plans.shape import discard, stored
 
 # Fixed rules.
 LAG_MIN_ROWS = 50
@@ -81,6 +86,7 @@ class Trained:
     fingerprint: list[dict] = field(default_factory=list)
     leakage: list[dict] = field(default_factory=list)
     feature_names: list[str] = field(default_factory=list)
+    terms: list[dict] = field(default_factory=list)  # columns, scale and parts of each input
     best_params: dict | None = None
     cross_validation: dict | None = None
     is_champion: bool = False
@@ -158,13 +164,24 @@ def _literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def feature_expressions(df: DataFrame, roles: dict[str, str], target: str | None, interactions: bool = False) -> dict[str, str]:
-    """SQL expression of every model input, with the fitted constants written in."""
+@dataclass(frozen=True)
+class Term:
+    """One model input: its SQL with the fitted constants written in, the raw columns it comes from, and, where it is a
+    scaled number or a product of two inputs, the numbers needed to make it anew."""
+
+    sql: str
+    columns: tuple[str, ...]
+    scale: tuple[float, float, float] | None = None  # fill, mean, deviation
+    parts: tuple[str, str] | None = None
+
+
+def feature_terms(df: DataFrame, roles: dict[str, str], target: str | None, interactions: bool = False) -> dict[str, Term]:
+    """Every model input by name."""
     kind = kinds(df)
     by_role: dict[str, list[str]] = {}
     for c, r in roles.items():
         by_role.setdefault(r, []).append(c)
-    out: dict[str, str] = {}
+    out: dict[str, Term] = {}
 
     def number(c: str) -> str:
         inner = f"CAST({_quoted(c)} AS INT)" if kind[c] == "boolean" else _quoted(c)
@@ -173,13 +190,14 @@ def feature_expressions(df: DataFrame, roles: dict[str, str], target: str | None
     nums, cats = by_role.get("numeric", []), by_role.get("one_hot", [])
     fitted = {r["column"]: r for r in features.fit_impute_scale(df, nums, cats).collect()} if nums or cats else {}
     for c in nums:
-        f = fitted[c]
-        out[c] = f"(coalesce({number(c)}, {float(f['fill'])!r}D) - {float(f['mean'])!r}D) / {float(f['std'] or 1.0)!r}D"
+        fill, mean, std = (float(x) for x in (fitted[c]["fill"], fitted[c]["mean"], fitted[c]["std"] or 1.0))
+        out[c] = Term(f"(coalesce({number(c)}, {fill!r}D) - {mean!r}D) / {std!r}D", (c,), (fill, mean, std))
     if cats:
         for c, levels in features.fit_one_hot(df, cats).items():
             fill = fitted[c]["fill_text"] if c in fitted and fitted[c]["fill_text"] is not None else ""
             for v in levels:
-                out[f"{c}_{v}"] = f"CASE WHEN coalesce(CAST({_quoted(c)} AS STRING), {_literal(fill)}) = {_literal(v)} THEN 1.0D ELSE 0.0D END"
+                same = f"coalesce(CAST({_quoted(c)} AS STRING), {_literal(fill)}) = {_literal(v)}"
+                out[f"{c}_{v}"] = Term(f"CASE WHEN {same} THEN 1.0D ELSE 0.0D END", (c,))
     for c in by_role.get("target_encoded", []):
         y = as_double(df, target)
         stats = df.where(y.isNotNull()).groupBy(as_text(df, c).alias("v")).agg(F.avg(y).alias("m"), F.count(y).alias("n"), F.var_pop(y).alias("w"))
@@ -190,7 +208,7 @@ def feature_expressions(df: DataFrame, roles: dict[str, str], target: str | None
             w = spread / (spread + (r["w"] or 0.0)) if spread else 1.0
             pairs.append(f"{_literal(r['v'])}, {float(w * r['m'] + (1 - w) * whole['m'])!r}D")
         lookup = f"map({', '.join(pairs)})" if pairs else "CAST(map() AS MAP<STRING, DOUBLE>)"
-        out[f"{c}__target"] = f"coalesce(try_element_at({lookup}, CAST({_quoted(c)} AS STRING)), {float(whole['m'])!r}D)"
+        out[f"{c}__target"] = Term(f"coalesce(try_element_at({lookup}, CAST({_quoted(c)} AS STRING)), {float(whole['m'])!r}D)", (c,))
     dates = by_role.get("datetime", [])
     if dates:
         for c, with_hour in features.fit_datetime_features(df, dates).items():
@@ -201,31 +219,32 @@ def feature_expressions(df: DataFrame, roles: dict[str, str], target: str | None
             }
             if with_hour:
                 parts["hour"] = f"hour({ts})"
-            out.update({f"{c}__{p}": f"CAST(coalesce({e}, 0) AS DOUBLE)" for p, e in parts.items()})
+            out.update({f"{c}__{p}": Term(f"CAST(coalesce({e}, 0) AS DOUBLE)", (c,)) for p, e in parts.items()})
     if interactions and len(nums) >= 2:
         for r in features.fit_interactions(df, nums).collect():  # one row per pair of columns
-            out[f"{r['left']} {r['right']}"] = f"({out[r['left']]}) * ({out[r['right']]})"
+            left, right = r["left"], r["right"]
+            out[f"{left} {right}"] = Term(f"({out[left].sql}) * ({out[right].sql})", (left, right), parts=(left, right))
     return out
 
 
-def preprocessor(rows: DataFrame, expressions: dict[str, str], texts: Sequence[str] = ()) -> tuple[list, list[str]]:
-    """Transformer stages from raw columns to ``_features``, and the names of its entries.
+def preprocessor(rows: DataFrame, terms: dict[str, Term], texts: Sequence[str] = ()) -> tuple[list, dict[str, Term]]:
+    """Transformer stages from raw columns to ``_features``, and the terms of all its entries.
 
     A text column adds the dense vector that ``features.text_vectors`` learns from it; a missing
     text counts as empty.
     """
-    inputs = [f"_f{i}" for i in range(len(expressions))]
+    inputs = [f"_f{i}" for i in range(len(terms))]
     filled = [f"coalesce(CAST({_quoted(c)} AS STRING), '') AS _text{i}" for i, c in enumerate(texts)]
-    body = ", ".join(["*", *[f"{e} AS {n}" for n, e in zip(inputs, expressions.values())], *filled])
+    body = ", ".join(["*", *[f"{t.sql} AS {n}" for n, t in zip(inputs, terms.values())], *filled])
     stages: list = [SQLTransformer(statement=f"SELECT {body} FROM __THIS__")]
-    names = list(expressions)
+    every = dict(terms)
     if texts:
         ready = stages[0].transform(rows)
         for i, c in enumerate(texts):
             stages.extend(features.text_vectors(ready, f"_text{i}", dims=TEXT_DIMS, name=f"_vector{i}").stages)
             inputs.append(f"_vector{i}")
-            names += [f"{c}__text_{j}" for j in range(TEXT_DIMS)]
-    return [*stages, VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep")], names
+            every.update({f"{c}__text_{j}": Term("", (c,)) for j in range(TEXT_DIMS)})
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep")], every
 
 
 # ---- estimators ----
@@ -252,7 +271,9 @@ def estimator(task: str, model_type: str, n: int, n_labels: int = 2, weighted: b
         if weighted and family != "gradient_boosting":
             common["weightCol"] = "_weight"
         if family == "gradient_boosting" and n_labels > 2:
-            raise ValueError("boosted trees take two classes; use random_forest for more")
+            columns = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction"}
+            one = GBTClassifier(maxIter=p.get("trees", 100), maxDepth=p.get("depth", 3), stepSize=p.get("step", 0.1), seed=SEED, **columns)
+            return OneVsRest(classifier=one.setRawPredictionCol("_raw"), rawPredictionCol="_raw", **columns)
         prob = {"probabilityCol": "_probability", "rawPredictionCol": "_raw"}
         makers: dict[str, Callable] = {
             "logistic_regression": lambda: LogisticRegression(regParam=1.0 / max(n, 1), standardization=False, maxIter=100, **common, **prob),
@@ -260,8 +281,8 @@ def estimator(task: str, model_type: str, n: int, n_labels: int = 2, weighted: b
                 numTrees=p.get("trees", 200), maxDepth=p.get("depth", 12), minInstancesPerNode=p.get("leaf", 1), seed=SEED, **common, **prob
             ),
             "gradient_boosting": lambda: GBTClassifier(
-                maxIter=p.get("trees", 100), maxDepth=p.get("depth", 3), stepSize=p.get("step", 0.1), seed=SEED, **common, **prob
-            ),
+                maxIter=p.get("trees", 100), maxDepth=p.get("depth", 3), stepSize=p.get("step", 0.1), seed=SEED, **common
+            ).setProbabilityCol("_probability").setRawPredictionCol("_raw"),
             "decision_tree": lambda: DecisionTreeClassifier(maxDepth=8, seed=SEED, **common, **prob),
             "knn": lambda: Neighbours(task, n_labels, p.get("k", KNN_K)),
         }
@@ -332,22 +353,29 @@ def _labelled(df: DataFrame, task: str, target: str, labels: Sequence[str]) -> D
     return df.withColumn("_label", as_double(df, target)).where("_label IS NOT NULL")
 
 
-def fit_pipeline(
+@dataclass
+class Prepared:
+    """Fitted preprocessing and what a model learns from: ``_label``, ``_features`` and, for classes, ``_weight``."""
+
+    stages: list
+    terms: dict[str, Term]
+    ready: DataFrame
+    n: int
+
+
+def prepare(
     train: DataFrame,
     target: str,
     roles: dict[str, str],
     task: str,
-    model_type: str,
     labels: Sequence[str],
     key: Sequence[str],
     interactions: bool = False,
     use_smote: tuple[bool, int] = (False, SMOTE_NEIGHBOURS),
-    params: dict | None = None,
-) -> tuple[PipelineModel, list[str]]:
-    """Fit preprocessing and model on ``train``; returns the pipeline and its input names."""
+) -> Prepared:
     rows = _labelled(train, task, target, labels)
-    expressions = feature_expressions(train if task == "regression" else rows, roles, target if task == "regression" else "_label", interactions)
-    stages, names = preprocessor(rows, expressions, [c for c, r in roles.items() if r == "text"])
+    terms = feature_terms(train if task == "regression" else rows, roles, target if task == "regression" else "_label", interactions)
+    stages, every = preprocessor(rows, terms, [c for c, r in roles.items() if r == "text"])
     ready = rows
     for s in stages:
         ready = s.transform(ready)
@@ -355,11 +383,10 @@ def fit_pipeline(
     if encoded:  # the model learns from cross-fitted encodings, scoring uses the full ones
         y = target if task == "regression" else "_label"
         for c in encoded:
-            i = list(expressions).index(f"{c}__target")
+            i = list(terms).index(f"{c}__target")
             ready = features.target_encode(ready.drop(f"_f{i}"), c, y, fold_column(key, 5), name=f"_f{i}")
         ready = stages[-1].transform(ready.drop("_features"))
-    weighted = task == "classification"
-    if weighted:
+    if task == "classification":
         weights = {r["label"]: r["weight"] for r in scoring.class_weights(ready, "_label").collect()}
         lookup = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])
         ready = ready.withColumn("_weight", lookup[F.col("_label").cast("string")])
@@ -369,15 +396,38 @@ def fit_pipeline(
         minority = min(counts, key=lambda v: (counts[v], v))
         made = smote(flat, "_label", "_v", key, minority, use_smote[1])
         ready = flat.select("_label", "_v").unionByName(made).select("_label", array_to_vector("_v").alias("_features"), F.lit(1.0).alias("_weight"))
-    n = ready.count()
-    model = estimator(task, model_type, n, len(labels), weighted, params).fit(ready)
-    return PipelineModel(stages=[*stages, model]), names
+    return Prepared(stages, every, ready, ready.count())
+
+
+def fit_prepared(p: Prepared, task: str, model_type: str, labels: Sequence[str], params: dict | None = None):
+    return estimator(task, model_type, p.n, len(labels), task == "classification", params).fit(p.ready)
+
+
+def fit_pipeline(
+    train: DataFrame,
+    target: str,
+    roles: dict[str, str],
+    task: str,
+    model_type: str,
+    labels: Sequence[str],
+    key: Sequence[str],
+    interactions: bool = False,
+    use_smote: tuple[bool, int] = (False, SMOTE_NEIGHBOURS),
+    params: dict | None = None,
+) -> tuple[PipelineModel, dict[str, Term]]:
+    """Fit preprocessing and model on ``train``; returns the pipeline and its inputs."""
+    p = prepare(train, target, roles, task, labels, key, interactions, use_smote)
+    return PipelineModel(stages=[*p.stages, fit_prepared(p, task, model_type, labels, params)]), p.terms
 
 
 def _raw_scores(pipeline: PipelineModel, df: DataFrame, task: str) -> DataFrame:
     out = pipeline.transform(df)
     keep = [ref(c) for c in df.columns]
     if task == "classification":
+        if "_probability" not in out.columns:  # one booster a class: their chances, shared out
+            chances = F.transform(vector_to_array("_raw"), lambda m: 1 / (1 + F.exp(-2 * m)))
+            total = F.aggregate(chances, F.lit(0.0), lambda a, v: a + v)
+            return out.select(*keep, F.transform(chances, lambda v: v / total).alias("_p"))
         return out.select(*keep, vector_to_array("_probability").alias("_p"))
     return out.select(*keep, F.col("_prediction").alias("_p"))
 
@@ -399,10 +449,72 @@ def predict(model: Trained, df: DataFrame) -> DataFrame:
     return out.withColumn("prediction", F.element_at(labels, best.cast("int")))
 
 
+def model_arrays(model: Trained) -> FittedArrays | None:
+    """The fitted model as arrays, read once; None where it has no such form or its inputs are not known."""
+    if "_arrays" not in model.__dict__:
+        model._arrays = arrays_of(model.pipeline.stages[-1]) if model.terms else None
+    return model._arrays
+
+
+class ArrayScorer:
+    """Scores of input vectors inside a task, and of the vectors that differ from them in one raw column."""
+
+    def __init__(self, model: Trained):
+        self.arrays, self.names = model_arrays(model), list(model.feature_names)
+        self.log_target, self.platt = model.log_target, model.platt
+        self.regression = model.task_type == "regression"
+        place = {n: i for i, n in enumerate(self.names)}
+        self.products = [(i, *(place[x] for x in t["parts"])) for i, t in enumerate(model.terms) if t["parts"]]
+        self.entries: dict[str, list[int]] = {}
+        for i, t in enumerate(model.terms):
+            for c in t["columns"]:
+                self.entries.setdefault(c, []).append(i)
+        self.trees = {c: self.arrays.uses(e) if self.arrays.weights is None else None for c, e in self.entries.items()}
+
+    def mixed(self, x: np.ndarray, other: np.ndarray, column: str) -> np.ndarray:
+        """``x`` with the inputs made of one raw column taken from ``other``, products made anew."""
+        new = x.copy()
+        own = self.entries.get(column, [])
+        new[:, own] = other[:, own]
+        for i, left, right in self.products:
+            if i in own:
+                new[:, i] = new[:, left] * new[:, right]
+        return new
+
+    def changed(self, x: np.ndarray, new: np.ndarray, raw: np.ndarray, column: str) -> np.ndarray:
+        """Sums of ``new``, given those of ``x``: only what uses the column is evaluated."""
+        own = self.entries.get(column, [])
+        return raw + self.arrays.change(x, new, own, self.trees[column]) if own else raw
+
+    def chances(self, raw: np.ndarray) -> np.ndarray:
+        p = self.arrays.probabilities(raw)
+        if self.platt:
+            one = 1 / (1 + np.exp(-(self.platt[0] * p[:, 1] + self.platt[1])))
+            p = np.stack([1 - one, one], 1)
+        return p
+
+    def value(self, raw: np.ndarray) -> np.ndarray:
+        """The prediction, the chance of the second of two classes, or the largest chance."""
+        if self.regression:
+            return np.expm1(raw[:, 0]) if self.log_target else raw[:, 0]
+        p = self.chances(raw)
+        return p[:, 1] if p.shape[1] == 2 else p.max(1)
+
+
+def model_vectors(model: Trained, df: DataFrame, keep: Sequence[Column]) -> DataFrame:
+    """``keep..., _x``: the model's inputs as one array a row."""
+    for s in model.pipeline.stages[:-1]:
+        df = s.transform(df)
+    return df.select(*keep, vector_to_array("_features").alias("_x"))
+
+
 def _score(pipeline: PipelineModel, held: DataFrame, task: str, target: str, labels: Sequence[str], log_target: bool) -> float:
     """Weighted F1, or minus MAPE."""
     probe = Trained(pipeline, task, "", target, [], list(labels), log_target=log_target)
-    out = predict(probe, held)
+    return _prediction_score(predict(probe, held), target, task, log_target)
+
+
+def _prediction_score(out: DataFrame, target: str, task: str, log_target: bool) -> float:
     if task == "classification":
         row = evaluate.classification_metrics(out, target, "prediction").first()
         return float(row["f1_weighted"]) if row else 0.0
@@ -411,6 +523,41 @@ def _score(pipeline: PipelineModel, held: DataFrame, task: str, target: str, lab
     return -float(row["mape"]) if row and row["mape"] is not None else -math.inf
 
 
+@dataclass
+class Fold:
+    """One fold with its preprocessing fitted: both sides are stored tables that every candidate reads."""
+
+    train: Prepared
+    held: DataFrame
+
+
+def prepared_folds(
+    df: DataFrame, target: str, roles: dict[str, str], task: str, key: Sequence[str], folds: int, labels: Sequence[str] = (),
+    time_col: str | None = None,
+) -> list[Fold]:
+    """Folds (expanding windows when a time column is given) with preprocessing fitted once for each."""
+
+    def one(split):
+        train, held = split
+        p = prepare(train, target, roles, task, labels, key)
+        p.ready = stored(p.ready.select("_label", "_features", *(["_weight"] if task == "classification" else [])))
+        for s in p.stages:
+            held = s.transform(held)
+        return Fold(p, stored(held.select(ref(target), "_features")))
+
+    return side_by_side(one, fold_splits(df, key, folds, time_col))
+
+
+def close_folds(folds: Sequence[Fold]) -> None:
+    for f in folds:
+        discard(f.train.ready, f.held)
+
+
+def _fold_score(fold: Fold, task: str, model_type: str, target: str, labels: Sequence[str], log_target: bool, params: dict | None) -> float:
+    model = fit_prepared(fold.train, task, model_type, labels, params)
+    return _score(PipelineModel(stages=[model]), fold.held, task, target, labels, log_target)
+
+
 def cross_validate(
     df: DataFrame,
     target: str,
@@ -425,10 +572,9 @@ def cross_validate(
     params: dict | None = None,
 ) -> dict:
     """Mean, deviation and scores over the folds (expanding windows when a time column is given)."""
-    scores = []
-    for train, held in fold_splits(df, key, folds, time_col):
-        pipeline, _ = fit_pipeline(train, target, roles, task, model_type, labels, key, params=params)
-        scores.append(_score(pipeline, held, task, target, labels, log_target))
+    ready = prepared_folds(df, target, roles, task, key, folds, labels, time_col)
+    scores = side_by_side(lambda f: _fold_score(f, task, model_type, target, labels, log_target, params), ready)
+    close_folds(ready)
     return {
         "folds": folds,
         "scoring": "f1_weighted" if task == "classification" else "neg_mean_absolute_percentage_error",
@@ -442,37 +588,116 @@ def auto_select_model(
     df: DataFrame, target: str, roles: dict[str, str], task: str, key: Sequence[str], labels: Sequence[str] = (),
     log_target: bool = False, params: dict | None = None,
 ) -> str:
-    """Best of the candidate families by three-fold score; text inputs are left out of the race.
+    """Best of the candidate families by three-fold score, all inputs in the race.
 
-    ``params`` (trees, depth, ...) sets the size of the tree models in the race.
+    ``params`` (trees, depth, ...) sets the size of the tree models. The folds are shared.
     """
-    usable = {c: r for c, r in roles.items() if r != "text"}
-    scores = {
-        m: cross_validate(df, target, usable, task, m, key, AUTO_FOLDS, labels, log_target=log_target, params=params)["mean"]
-        for m in AUTO[task]
-        if len(labels) <= 2 or m != "gradient_boosting"  # Spark's boosted trees take two classes
-    }
-    return max(scores, key=lambda m: scores[m])
+    folds = prepared_folds(df, target, roles, task, key, AUTO_FOLDS, labels)
+    jobs = [(m, f) for m in AUTO[task] for f in folds]
+    scores = side_by_side(lambda job: _fold_score(job[1], task, job[0], target, labels, log_target, params), jobs)
+    close_folds(folds)
+    means = {m: half_up(float(np.mean([s for (of, _), s in zip(jobs, scores) if of == m])), 4) for m in AUTO[task]}
+    return max(means, key=lambda m: means[m])
 
 
-def tune(
-    df: DataFrame, target: str, roles: dict[str, str], task: str, model_type: str, key: Sequence[str], labels: Sequence[str] = (),
-    log_target: bool = False, draws: int = TUNE_DRAWS, grid: dict | None = None,
-) -> dict | None:
-    """Best of a random draw of parameter settings over three folds; None for untuned models."""
+def drawn_settings(model_type: str, draws: int = TUNE_DRAWS, grid: dict | None = None) -> list[dict]:
+    """The settings that a search tries: a random draw from the grid, none for untuned models."""
     grid = grid or GRIDS.get(resolve_model_type(model_type))
     if not grid:
-        return None
+        return []
     rng = np.random.default_rng(SEED)
     names = list(grid)
     every = [dict(zip(names, combo)) for combo in np.array(np.meshgrid(*grid.values())).T.reshape(-1, len(names)).tolist()]
     every = [{k: int(v) if k != "step" else float(v) for k, v in s.items()} for s in every]
-    picked = [every[i] for i in rng.choice(len(every), size=min(draws, len(every)), replace=False)]
-    scored = [
-        (cross_validate(df, target, roles, task, model_type, key, TUNE_FOLDS, labels, log_target=log_target, params=s)["mean"], -i)
-        for i, s in enumerate(picked)
-    ]
-    return picked[-max(scored)[1]]
+    return [every[i] for i in rng.choice(len(every), size=min(draws, len(every)), replace=False)]
+
+
+def _grown_together(model_type: str, settings: Sequence[dict]) -> list[tuple[dict, list[dict]]]:
+    """Settings that one fit answers, with the parameters of that fit. A forest's first trees are a smaller forest,
+    its nodes down to a depth a shallower one; a booster's first trees are the booster stopped early."""
+    forest = resolve_model_type(model_type) == "random_forest"
+    groups: dict[tuple, list[dict]] = {}
+    for s in settings:
+        same = {k: v for k, v in s.items() if k != "trees" and not (forest and k == "depth")}
+        groups.setdefault(tuple(sorted(same.items())), []).append(s)
+    return [({k: max(s[k] for s in group) for k in group[0]}, group) for group in groups.values()]
+
+
+def _setting_scores(fold: Fold, task: str, model_type: str, target: str, labels, log_target: bool, whole: dict, settings: list[dict]) -> list[float]:
+    """Score of every setting on one fold, from one fit of ``whole``."""
+    model = fit_prepared(fold.train, task, model_type, labels, whole)
+    arrays = arrays_of(model)
+    forest = resolve_model_type(model_type) == "random_forest"
+    shared = fold.held.sparkSession.sparkContext.broadcast(arrays)  # a fitted model
+    size = len(arrays.first) // (1 if arrays.link != "one_by_one" else arrays.outputs)  # trees of a class
+
+    def predictions(x: np.ndarray) -> np.ndarray:
+        a, out = shared.value, []
+        for s in settings:
+            n = min(s.get("trees", size), size)
+            trees = np.concatenate([np.arange(n) + k * size for k in range(len(a.first) // size)])
+            if forest:
+                raw = a.value[a.reached(x, trees, s["depth"])].sum(1) * (size / n if a.link == "value" else 1)
+            else:
+                raw = a.raw(x, trees)
+            out.append(raw[:, 0] if a.link == "value" else a.probabilities(raw).argmax(1).astype(float))
+        return np.stack(out, 1)
+
+    def run(batches):
+        for batch in batches:
+            found = predictions(list_matrix(batch.column("_x")))
+            at = pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.ListArray.from_arrays(at, pa.array(found.reshape(-1)))], ["_y", "_p"])
+
+    y = ref(target)
+    rows = fold.held.select(y.alias("_y"), vector_to_array("_features").alias("_x"))
+    kind = fold.held.schema[target].dataType.simpleString()
+    found = stored(rows.mapInArrow(run, f"_y {kind}, _p array<double>"))
+    scores = []
+    for i in range(len(settings)):
+        value = F.col("_p")[i]
+        if task == "classification":
+            value = F.element_at(F.array(*[F.lit(v) for v in labels]), value.cast("int") + 1)
+        elif log_target:
+            value = F.expm1(value)
+        scores.append(_prediction_score(found.select("_y", value.alias("prediction")), "_y", task, log_target))
+    discard(found)
+    shared.unpersist()
+    return scores
+
+
+def tune(
+    df: DataFrame, target: str, roles: dict[str, str], task: str, model_type: str, key: Sequence[str], labels: Sequence[str] = (),
+    log_target: bool = False, draws: int = TUNE_DRAWS, grid: dict | None = None,
+) -> dict | None:
+    """Best of a random draw of parameter settings over three folds; None for untuned models."""
+    trials = search_settings(df, target, roles, task, model_type, key, labels, log_target, draws, grid)
+    return max(trials, key=lambda t: t[1])[0] if trials else None
+
+
+def search_settings(
+    df: DataFrame, target: str, roles: dict[str, str], task: str, model_type: str, key: Sequence[str], labels: Sequence[str] = (),
+    log_target: bool = False, draws: int = TUNE_DRAWS, grid: dict | None = None,
+) -> list[tuple[dict, float]]:
+    """Settings and their mean scores over three shared folds, in the order drawn.
+
+    Forests are grown once for each least leaf size, boosters once for each depth and step: the settings
+    that differ in the number of trees (and, in forests, the depth) are read off one fit.
+    """
+    settings = drawn_settings(model_type, draws, grid)
+    if not settings:
+        return []
+    folds = prepared_folds(df, target, roles, task, key, TUNE_FOLDS, labels)
+    # the longest fits first
+    groups = sorted(_grown_together(model_type, settings), key=lambda g: -g[0].get("trees", 1) * g[0].get("depth", 1))
+    jobs = [(whole, group, f) for whole, group in groups for f in folds]
+    found = side_by_side(lambda j: _setting_scores(j[2], task, model_type, target, labels, log_target, j[0], j[1]), jobs)
+    close_folds(folds)
+    scores: dict[int, list[float]] = {}
+    for (_, group, _), values in zip(jobs, found):
+        for s, v in zip(group, values):
+            scores.setdefault(id(s), []).append(v)
+    return [(s, half_up(float(np.mean(scores[id(s)])), 4)) for s in settings]
 
 
 def platt_calibrate(df: DataFrame, target: str, roles: dict[str, str], model_type: str, key: Sequence[str], labels: Sequence[str]) -> list[float]:
@@ -576,10 +801,10 @@ def train_supervised_model(
     use_smote = should_use_smote(task, chosen_type, counts)
     interactions = len([c for c, r in roles.items() if r == "numeric"]) >= INTERACTION_MIN_COLS and n >= INTERACTION_MIN_ROWS
     params = tune(train, target_col, roles, task, chosen_type, key, labels, log_target) if tune_model and n_train >= TUNE_MIN_ROWS else None
-    pipeline, names = fit_pipeline(train, target_col, roles, task, chosen_type, labels, key, interactions, use_smote, params)
+    pipeline, terms = fit_pipeline(train, target_col, roles, task, chosen_type, labels, key, interactions, use_smote, params)
     model = Trained(
         pipeline, task, chosen_type, target_col, list(roles), labels, dataset_id=dataset_id, log_target=log_target, lag_config=lag_config,
-        feature_names=names, best_params=params, leakage=leakage,
+        feature_names=list(terms), terms=[asdict(t) | {"sql": ""} for t in terms.values()], best_params=params, leakage=leakage,
     )
     tree = chosen_type in ("random_forest", "gradient_boosting", "decision_tree")
     if calibrate and task == "classification" and len(labels) == 2 and tree and params is None and n_train >= CALIBRATE_MIN_ROWS:
