@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import ref, require_between, require_columns, word_tokens
+from tablewise.operators.keyword import B, K1, KeywordIndex, build_index, search_blocks
 from tablewise.plans.nearest import SCORE_DIGITS, nearest, top_per_query
-from tablewise.plans.shape import spread, stored
+from tablewise.plans.shape import spread
 
 # Fixed parameters.
-K1, B = 1.5, 0.75
 BM25_WEIGHT = 0.3
 POOL_FACTOR = 3
 RERANK_FACTOR = 4
@@ -155,10 +155,13 @@ def bm25_search(
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` for all queries at once.
 
-    The documents are tokenised once, into stored postings.
+    The documents are tokenised once, into an index of postings (see ``keyword_index`` to search it repeatedly).
     """
-    index = stored(bm25_index(docs, id_col, text_col))
-    return search_index(index, docs.count(), queries, top_k, query_id, query_text)
+    return search_blocks(keyword_index(docs, id_col, text_col), queries, top_k, query_id, query_text)
+
+
+def keyword_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> KeywordIndex:
+    return build_index(bm25_index(docs, id_col, text_col), docs.count())
 
 
 def search_index(
@@ -231,13 +234,15 @@ def hybrid_search(
     query_id: str = "query_id",
     query_text: str = "query",
     query_vec: str = "query_vector",
+    index: KeywordIndex | None = None,
 ) -> DataFrame:
     """Both searches give a pool of three times ``top_k``; scores of the union are blended, the
-    keyword side relative to its best score per query, a missing side counting as 0."""
+    keyword side relative to its best score per query, a missing side counting as 0. ``index`` is a
+    keyword index of the same documents, made here if not given."""
     require_between("bm25_weight", bm25_weight, 0.0, 1.0)
     pool = top_k * POOL_FACTOR
     by_vec = cosine_topk(docs, queries, pool, id_col, vec_col, query_id, query_vec)
-    by_word = bm25_search(docs, queries, pool, id_col, text_col, query_id, query_text)
+    by_word = search_blocks(index or keyword_index(docs, id_col, text_col), queries, pool, query_id, query_text)
     # At most ``pool`` rows per query on either side.
     best = F.max("score").over(Window.partitionBy("query_id"))
     word = by_word.select("query_id", "item_id", (F.col("score") / F.greatest(best, F.lit(1e-9))).alias("word"))
@@ -267,7 +272,7 @@ def retrieve(
     top_k: int = TOP_K,
     min_score: float = MIN_SCORE,
     scorer: Callable[[Column, Column], Column] | None = None,
-    **columns: str,
+    **columns,
 ) -> DataFrame:
     """Hybrid hits at or above the floor; with a scorer a wider pool is filtered, then reordered."""
     wide = top_k * RERANK_FACTOR if scorer is not None else top_k

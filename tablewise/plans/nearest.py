@@ -1,9 +1,11 @@
 """Exact top-k neighbours without pairs of rows.
 
-Vectors are compared block against block with one matrix product; a block gives back at most
-k candidates per query, and Spark keeps the best k of those. A query set whose size is proven
-small travels with the tasks over one scan of the corpus. A larger one is cut into blocks as
-well, and every (corpus block, query block) couple is a group of its own of bounded size.
+Vectors are compared block against block with matrix products of bounded size; a block gives back at
+most k candidates per query, and Spark keeps the best k of those. A query set whose size is proven
+small travels with the tasks over one scan of the corpus. For a larger one both sides are dealt to the
+nearest of some pivots drawn from the corpus. How far the queries of a cell can be from their k-th neighbour
+follows from distances to pivots alone; by the triangle inequality corpus rows beyond that are not
+copied to the cell. What is copied meets the cell's queries in groups of bounded size.
 """
 
 from __future__ import annotations
@@ -18,9 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewise.functions.columns import ref
+from tablewise.plans.shape import stored
 
 BROADCAST_QUERIES_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 20_000
+#: Bytes of one matrix product.
+PRODUCT_BYTES = 64 * 1024 * 1024
+#: Most pivots, and most distances to pivots that are looked at on the driver.
+PIVOTS, NEAR_DISTANCES = 256, 1 << 18
+#: Squared distances this close count as equal, since scores are rounded before they are compared.
+SLACK = 1e-5
 SCORE_DIGITS = 6
 
 
@@ -35,6 +44,13 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _match(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, metric: str, skip_self: bool) -> pd.DataFrame:
+    """The k best of these items for each of these queries, by products of at most ``PRODUCT_BYTES``."""
+    step = max(1, PRODUCT_BYTES // (8 * max(1, len(c))))
+    parts = [_product(qid[i : i + step], q[i : i + step], cid, c, k, metric, skip_self) for i in range(0, len(q), step)]
+    return pd.concat(parts, ignore_index=True)
+
+
+def _product(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, metric: str, skip_self: bool) -> pd.DataFrame:
     if metric == "dot":
         scores = q @ c.T
     else:
@@ -98,24 +114,119 @@ def nearest(
 
         found = c.mapInPandas(scan, schema)
     else:
-        n_c = max(1, math.ceil(c.count() / block_rows))
-        n_q = max(1, math.ceil(size["n"] / block_rows))
-        left = c.withColumn("i", F.pmod(F.xxhash64("item_id"), F.lit(n_c)).cast("int")).withColumn(
-            "j", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))
-        )
-        right = q.withColumn("j", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn(
-            "i", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))
-        )
+        left, right, by = _voronoi_groups(c, q, k + skip_self, metric, block_rows)
 
         def couple(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
             return _match(b["query_id"].to_numpy(), _matrix(b["v"]), a["item_id"].to_numpy(), _matrix(a["v"]), k, metric, skip_self)
 
-        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(couple, schema)
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(couple, schema)
     return top_per_query(found, k)
 
 
+class _Space:
+    """Vectors as points whose order by distance is the order by score. Inner products become distances when
+    items get one more coordinate that makes them equally long."""
+
+    def __init__(self, metric: str, longest: float):
+        self.dot, self.longest = metric == "dot", longest
+
+    def points(self, vectors: np.ndarray, items: bool) -> np.ndarray:
+        if not self.dot:
+            return vectors
+        more = np.sqrt(np.maximum(self.longest - (vectors * vectors).sum(1), 0.0)) if items else np.zeros(len(vectors))
+        return np.concatenate([vectors, more[:, None]], 1)
+
+
+def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    square = (points * points).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * (points @ pivots.T)
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _in_cells(rows: DataFrame, space: _Space, pivots: np.ndarray, items: bool) -> DataFrame:
+    """Rows with the number of their nearest pivot and the distance to it, as a stored table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                far = _distances(space.points(_matrix(b["v"]), items), pivots)
+                cell = far.argmin(1)
+                yield b.assign(cell=cell.astype("int32"), far=far[np.arange(len(b)), cell])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
+    return stored(rows.mapInPandas(run, schema))
+
+
+def cell_reach(pivots: np.ndarray, near: dict[int, np.ndarray], widest: dict[int, float], k: int) -> dict[int, float]:
+    """For each cell of queries an upper bound of the distance from any of them to its k-th neighbour. ``near``
+    has the least distances of items to each pivot, ``widest`` the largest one of the cell's queries."""
+    between = _distances(pivots, pivots)
+    cells = np.concatenate([np.full(len(d), j) for j, d in near.items()])
+    far = np.concatenate(list(near.values()))
+    reach = {}
+    for i, wide in widest.items():
+        bound = wide + between[i, cells] + far
+        reach[i] = float(np.partition(bound, k - 1)[k - 1]) if len(bound) >= k else math.inf
+    return reach
+
+
+def _voronoi_groups(c: DataFrame, q: DataFrame, k: int, metric: str, block_rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Corpus rows and query rows with the keys of the bounded groups in which they meet."""
+    spark = c.sparkSession
+    square = F.aggregate(F.transform("v", lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x * x)
+    size = c.agg(F.count("*").alias("n"), F.coalesce(F.max(square), F.lit(0.0)).alias("longest")).first()
+    space = _Space(metric, size["longest"])
+    number = int(min(PIVOTS, max(1, math.isqrt(size["n"])), max(1, NEAR_DISTANCES // max(1, k))))
+    drawn = c.orderBy(F.xxhash64("item_id"), "item_id").limit(number).collect()  # at most PIVOTS rows
+    if not drawn:
+        none = c.select("item_id", "v", F.lit(0).alias("i"))
+        return none, q.select("query_id", "v", F.lit(0).alias("i")), ["i"]
+    pivots = space.points(np.array([r["v"] for r in drawn], dtype="float64"), True)
+    items, asked = _in_cells(c, space, pivots, True), _in_cells(q, space, pivots, False)
+    order = Window.partitionBy("cell").orderBy("far")
+    close = items.select("cell", "far", F.row_number().over(order).alias("r")).where(F.col("r") <= k)
+    near: dict[int, list[float]] = {}
+    for r in close.select("cell", "far").collect():  # at most NEAR_DISTANCES rows
+        near.setdefault(r["cell"], []).append(r["far"])
+    spans = {r["cell"]: r for r in items.groupBy("cell").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("*").alias("n")).collect()}
+    wide = {r["cell"]: r for r in asked.groupBy("cell").agg(F.max("far").alias("hi"), F.count("*").alias("n")).collect()}
+    reach = cell_reach(pivots, {j: np.array(v) for j, v in near.items()}, {i: r["hi"] for i, r in wide.items()}, k)
+    between = _distances(pivots, pivots)
+    routes = []
+    for i, w in wide.items():
+        # scores are rounded, and distances are roots of differences
+        limit = max(math.sqrt(reach[i] ** 2 + SLACK), reach[i] + 2e-6) + 1e-7 * (1 + math.sqrt(size["longest"]))
+        low, high = between[i] - w["hi"] - limit, between[i] + w["hi"] + limit
+        met = [j for j, s in spans.items() if s["hi"] >= low[j] and s["lo"] <= high[j]]
+        blocks = max(1, math.ceil(sum(spans[j]["n"] for j in met) / block_rows))
+        turns = max(1, math.ceil(w["n"] / block_rows))
+        routes += [(j, i, float(low[j]), float(high[j]), blocks, turns) for j in met]
+    # one row for each two cells: at most PIVOTS * PIVOTS
+    route = F.broadcast(spark.createDataFrame(routes, "cell int, i int, low double, high double, blocks int, turns int"))
+    copies = items.join(route, "cell").where("far BETWEEN low AND high")
+    left = copies.select(
+        "item_id", "v", "i", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int").alias("b"),
+        F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("t"),
+    )
+    sides = route.select(F.col("i").alias("cell"), "blocks", "turns").distinct()
+    right = asked.join(F.broadcast(sides), "cell").select(
+        "query_id", "v", F.col("cell").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"),
+        F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int").alias("t"),
+    )
+    return left, right, ["i", "b", "t"]
+
+
+def copied_rows(corpus: DataFrame, queries: DataFrame, k: int, corpus_id="item_id", corpus_vec="vector", query_id="query_id", query_vec="vector", metric="dot", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: corpus rows that the cells of queries get, and that all pairs of blocks would copy."""
+    c = corpus.select(ref(corpus_id).alias("item_id"), ref(corpus_vec).alias("v")).where("v IS NOT NULL")
+    q = queries.select(ref(query_id).alias("query_id"), ref(query_vec).alias("v")).where("v IS NOT NULL")
+    left, right, _ = _voronoi_groups(c, q, k, metric, block_rows)
+    cells = right.select("i").distinct().count()
+    every = F.lit(cells) * F.lit(c.count())
+    return left.agg(F.count("*").alias("rows_copied")).withColumn("rows_of_all_cells", every.cast("long"))
+
+
 def top_per_query(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

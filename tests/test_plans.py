@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewise.plans.nearest import nearest
+from tablewise.plans.nearest import copied_rows, nearest
 from tablewise.plans.ordering import row_index, running_sums, value_ranks
 from tablewise.plans.quantiles import exact_quantiles
 
@@ -61,3 +61,31 @@ def test_nearest_equals_brute_force(spark, limit, metric):
     for i in range(40):
         want = np.argsort(-score[i], kind="stable")[:4]
         assert out[out.query_id == i].sort_values("rank")["item_id"].tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("metric", ["dot", "euclidean"])
+@pytest.mark.parametrize("skip", [False, True])
+def test_pivots_lose_no_neighbour(spark, metric, skip, monkeypatch):
+    """Clustered points with copies, ties and unequal lengths, products of few rows, against all pairs."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 20, (12, 5))
+    items = np.round(np.concatenate([c + rng.normal(0, 0.4, (60, 5)) for c in centres] + [centres[:1].repeat(20, 0)]), 3)
+    queries = np.concatenate([items[::7], rng.normal(0, 30, (10, 5)), np.zeros((1, 5))])
+    cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)] + [(9999, None)], "item_id long, vector array<double>")
+    qdf = spark.createDataFrame([(i * 7 if i * 7 < len(items) else 10_000 + i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vector array<double>")
+    monkeypatch.setattr("tablewise.plans.nearest.PRODUCT_BYTES", 4096)
+    out = nearest(cdf, qdf, 6, metric=metric, skip_self=skip, max_query_bytes=0, block_rows=100).toPandas()
+    for qid, v in ((r.query_id, np.array(r.vector)) for r in qdf.collect()):
+        score = items @ v if metric == "dot" else -np.sqrt(((items - v) ** 2).sum(1))
+        score = np.round(score, 6)
+        if skip and qid < len(items):
+            score[qid] = -np.inf
+        want = np.lexsort((np.arange(len(items)), -score))[:6]
+        mine = out[out.query_id == qid].sort_values("rank")
+        assert np.allclose(mine.score, score[want], atol=2e-6)
+        if metric == "euclidean" and not skip:
+            assert mine.item_id.tolist()[:1] == want.tolist()[:1]
+    if metric == "euclidean":
+        near = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items[::5])], "query_id long, vector array<double>")
+        cost = copied_rows(cdf, near, 6, metric=metric, block_rows=100).first()
+        assert cost.rows_copied < cost.rows_of_all_cells / 4
