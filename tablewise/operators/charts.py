@@ -14,20 +14,21 @@ BAR_ROWS = 200
 LINE_POINTS = 2000
 
 
-def bar_data(df: DataFrame, x: str, y: str, order_by: Sequence[str] | None = None) -> DataFrame:
+def bar_data(df: DataFrame, x: str, y: str, order_by: Sequence[str] | None = None, limit: int | None = BAR_ROWS) -> DataFrame:
     """First rows of two columns; Spark rows carry no order, so one is named (default ``x, y``)."""
-    return multi_series_bar_data(df, x, [y], order_by)
+    return multi_series_bar_data(df, x, [y], order_by, limit)
 
 
 def multi_series_bar_data(
-    df: DataFrame, x: str, y_cols: Sequence[str], order_by: Sequence[str] | None = None
+    df: DataFrame, x: str, y_cols: Sequence[str], order_by: Sequence[str] | None = None, limit: int | None = BAR_ROWS
 ) -> DataFrame:
     known = [y for y in y_cols if y in df.columns]
     if not known:
         raise ValueError(f"No known y column in {list(y_cols)}")
     require_columns(df, x)
     order = list(order_by or [x, *known])
-    return df.orderBy(*[ref(o) for o in order]).select(ref(x), *[ref(y) for y in known]).limit(BAR_ROWS)
+    rows = df.orderBy(*[ref(o) for o in order]).select(ref(x), *[ref(y) for y in known])
+    return rows if limit is None else rows.limit(limit)
 
 
 def bin_edges(low: float, high: float, bins: int) -> tuple[float, float]:

@@ -67,8 +67,8 @@ def is_potential_key(df: DataFrame) -> DataFrame:
     )
 
 
-def join_key_candidates(df_a: DataFrame, df_b: DataFrame) -> DataFrame:
-    """Column pairs that could join two tables, best first.
+def join_key_candidates(df_a: DataFrame, df_b: DataFrame, limit: int | None = MAX_RESULTS) -> DataFrame:
+    """Column pairs that could join two tables, best first; all of them with ``limit`` None.
 
     Only name-compatible pairs are compared. Each side is reduced to distinct (pair, value)
     rows before one join, so a value that fills a third of a table counts once.
@@ -106,7 +106,7 @@ def join_key_candidates(df_a: DataFrame, df_b: DataFrame) -> DataFrame:
     good = F.col("exact_name_match") | (
         (F.col("similarity") > RECOMMENDED_SIMILARITY) & (F.col("overlap") > RECOMMENDED_OVERLAP)
     )
-    return (
+    ranked = (
         scored.select(
             "pair",
             "col_a",
@@ -117,9 +117,8 @@ def join_key_candidates(df_a: DataFrame, df_b: DataFrame) -> DataFrame:
             good.alias("recommended"),
         )
         .orderBy(F.col("exact_name_match").desc(), F.col("value_overlap").desc(), "pair")
-        .limit(MAX_RESULTS)
-        .select(*out_cols)
     )
+    return (ranked if limit is None else ranked.limit(limit)).select(*out_cols)
 
 
 def cross_correlations(df_a: DataFrame, df_b: DataFrame, key_a: str, key_b: str, top_n: int = MAX_RESULTS) -> DataFrame:

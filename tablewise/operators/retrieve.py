@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewise.functions.columns import ref, require_between, require_columns, word_tokens
 from tablewise.operators.keyword import B, K1, KeywordIndex, build_index, search_blocks
 from tablewise.plans.nearest import SCORE_DIGITS, nearest, top_per_query
-from tablewise.plans.shape import spread
+from tablewise.plans.shape import spread, stored
 
 # Fixed parameters.
 BM25_WEIGHT = 0.3
@@ -155,9 +155,10 @@ def bm25_search(
 ) -> DataFrame:
     """``query_id, item_id, score, rank`` for all queries at once.
 
-    The documents are tokenised once, into an index of postings (see ``keyword_index`` to search it repeatedly).
+    The documents are tokenised once, into stored postings. For many searches make a ``keyword_index``.
     """
-    return search_blocks(keyword_index(docs, id_col, text_col), queries, top_k, query_id, query_text)
+    index = stored(bm25_index(docs, id_col, text_col))
+    return search_index(index, docs.count(), queries, top_k, query_id, query_text)
 
 
 def keyword_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> KeywordIndex:
@@ -238,11 +239,14 @@ def hybrid_search(
 ) -> DataFrame:
     """Both searches give a pool of three times ``top_k``; scores of the union are blended, the
     keyword side relative to its best score per query, a missing side counting as 0. ``index`` is a
-    keyword index of the same documents, made here if not given."""
+    keyword index of the same documents; without one they are tokenised here."""
     require_between("bm25_weight", bm25_weight, 0.0, 1.0)
     pool = top_k * POOL_FACTOR
     by_vec = cosine_topk(docs, queries, pool, id_col, vec_col, query_id, query_vec)
-    by_word = search_blocks(index or keyword_index(docs, id_col, text_col), queries, pool, query_id, query_text)
+    if index is None:
+        by_word = bm25_search(docs, queries, pool, id_col, text_col, query_id, query_text)
+    else:
+        by_word = search_blocks(index, queries, pool, query_id, query_text)
     # At most ``pool`` rows per query on either side.
     best = F.max("score").over(Window.partitionBy("query_id"))
     word = by_word.select("query_id", "item_id", (F.col("score") / F.greatest(best, F.lit(1e-9))).alias("word"))

@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Mapping
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,11 @@ ACTIVE_VIEW = "t"
 
 # Functions that leave the loaded tables.
 DENIED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
+# Functions that make rows from their arguments alone.
+TABLE_FUNCTIONS = (
+    "range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple collations sql_keywords"
+    " variant_explode variant_explode_outer"
+).split()
 REJECTED_PREFIXES = ("Insert", "Create", "Drop", "Alter", "Replace", "Show", "Set", "Cache", "Add")
 
 
@@ -49,22 +55,67 @@ def _require_query(session: SparkSession, query: str) -> None:
         nodes.extend(children.apply(i) for i in range(children.size()))
 
 
-def _require_contained(session: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> None:
-    """Reject tables that were not handed in, shell scripts and JVM method calls, subqueries included.
+def _sequence(values) -> list:
+    return [values.apply(i) for i in range(values.size())]
+
 
-    The tree of the parsed, not yet analysed query names every relation, common table expression and
-    function call as such; a text literal is none of them.
+class _Scopes:
+    """Walks the parsed, not yet analysed query with the names that may be read at each place.
+
+    A common table expression is known after its own definition (inside it only where the query says
+    RECURSIVE); subqueries see the names around them. Tables, functions and scripts are told by their nodes, so
+    text literals and column names are none of them.
     """
-    tree = session._jsparkSession.sessionState().sqlParser().parsePlan(query).treeString()
-    known = {name.lower() for name in tables}
-    for names in re.findall(r"CTE \[([^\]]*)\]", tree):
-        known |= {n.strip().lower() for n in names.split(",")}
-    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", tree):
-        if name.lower() not in known:
-            raise ValueError(f"unknown table in a query: {name}")
-    found = re.search(rf"ScriptTransformation|'({'|'.join(DENIED_FUNCTIONS)})\(", tree, re.IGNORECASE)
-    if found:
-        raise ValueError(f"not allowed in a query: {found.group(0)}")
+
+    def __init__(self, session: SparkSession):
+        self.gateway = session._sc._gateway
+
+    def _is(self, node, name: str) -> bool:
+        return is_instance_of(self.gateway, node, f"org.apache.spark.sql.catalyst.{name}")
+
+    def _function(self, parts: list[str]) -> None:
+        name = parts[-1].lower()
+        if name in DENIED_FUNCTIONS or (len(parts) > 1 and [x.lower() for x in parts[:-1]] not in ([["builtin"], ["system", "builtin"]])):
+            raise ValueError(f"not allowed in a query: {'.'.join(parts)}")
+
+    def plan(self, node, known: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            for item in _sequence(node.cteRelations()):
+                name = item._1().lower()
+                self.plan(item._2(), known | {name} if node.allowRecursion() else known)
+                known = known | {name}
+        elif kind == "UnresolvedRelation":
+            parts = _sequence(node.multipartIdentifier())
+            if len(parts) != 1 or parts[0].lower() not in known:
+                raise ValueError(f"unknown table in a query: {'.'.join(parts)}")
+        elif kind == "UnresolvedTableValuedFunction":
+            self._function(_sequence(node.name()))
+            if _sequence(node.name())[-1].lower() not in TABLE_FUNCTIONS:
+                raise ValueError(f"not allowed in a query: {'.'.join(_sequence(node.name()))}")
+        elif "Script" in kind or "UnresolvedIdentifier" in kind or kind in ("UnresolvedTable", "UnresolvedView", "UnresolvedTableOrView"):
+            raise ValueError(f"not allowed in a query: {kind}")
+        for e in _sequence(node.expressions()):
+            self.expression(e, known)
+        for child in _sequence(node.children()):
+            self.plan(child, known)
+
+    def expression(self, e, known: frozenset[str]) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            self._function(_sequence(e.nameParts()))
+        elif "UnresolvedIdentifier" in kind:  # IDENTIFIER('...') names things at run time
+            raise ValueError(f"not allowed in a query: {kind}")
+        if self._is(e, "expressions.PlanExpression"):
+            self.plan(e.plan(), known)
+        for child in _sequence(e.children()):
+            self.expression(child, known)
+
+
+def _require_contained(session: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> None:
+    """Reject tables that were not handed in, shell scripts and JVM method calls, subqueries included."""
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    _Scopes(session).plan(plan, frozenset(name.lower() for name in tables))
 
 
 def _adopt(session: SparkSession, name: str, table: DataFrame) -> None:

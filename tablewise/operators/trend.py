@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import as_double, kinds, numeric_columns, ref, require_columns, text_columns
 from tablewise.plans.quantiles import exact_quantiles
+from tablewise.plans.shape import null_safe_join
 
 # Fixed rules: span in days above which months or weeks are used, and the parse share of a date column.
 LONG_SPAN_DAYS = 400
@@ -69,15 +72,15 @@ def _calendar(low: Column, high: Column, freq: str) -> Column:
     return F.transform(starts, lambda d: F.last_day(d))
 
 
-def _resolve(df: DataFrame, date_col, value_col, freq) -> tuple[DataFrame, str, str, str] | None:
+def _resolve(df: DataFrame, date_col, value_col, freq, by: Sequence[str] = ()) -> tuple[DataFrame, str, str, str] | None:
     date_col = date_col or detect_datetime_col(df)
     if date_col is None:
         raise ValueError("no datetime column found or given")
     value_col = value_col or next((c for c in numeric_columns(df) if c != date_col), None)
     if value_col is None:
         raise ValueError("no numeric value column found or given")
-    require_columns(df, date_col, value_col)
-    rows = df.select(as_timestamp(df, date_col).alias("ts"), as_double(df, value_col).alias("value")).where(
+    require_columns(df, date_col, value_col, *by)
+    rows = df.select(*[ref(b) for b in by], as_timestamp(df, date_col).alias("ts"), as_double(df, value_col).alias("value")).where(
         F.col("ts").isNotNull() & F.col("value").isNotNull()
     )
     if freq == "auto":
@@ -87,24 +90,30 @@ def _resolve(df: DataFrame, date_col, value_col, freq) -> tuple[DataFrame, str,
 
 
 def trend_periods(
-    df: DataFrame, date_col: str | None = None, value_col: str | None = None, freq: str = "auto", agg: str = "sum"
-) -> DataFrame:
-    """``period, value``: sum and count keep empty periods as 0, the other aggregates drop them."""
+    df: DataFrame, date_col: str | None = None, value_col: str | None = None, freq: str = "auto", agg: str = "sum",
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """``by..., period, value``: sum and count keep empty periods as 0, the other aggregates drop them.
+
+    Each series of ``by`` columns has its own calendar, from its first period to its last.
+    """
     if agg not in AGGREGATES:
         raise ValueError(f"agg must be one of {AGGREGATES}")
-    rows, _, _, freq = _resolve(df, date_col, value_col, freq)
-    rows = rows.select(period_label(F.col("ts"), freq).alias("period"), "value")
+    rows, _, _, freq = _resolve(df, date_col, value_col, freq, by)
+    keys = [ref(b) for b in by]
+    rows = rows.select(*keys, period_label(F.col("ts"), freq).alias("period"), "value")
     if agg == "median":
-        return exact_quantiles(rows, ["value"], [0.5], ["period"]).select("period", F.col("quantiles")[0].alias("value"))
+        return exact_quantiles(rows, ["value"], [0.5], [*by, "period"]).select(*keys, "period", F.col("quantiles")[0].alias("value"))
     fn = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}[agg]
-    out = rows.groupBy("period").agg(fn("value").cast("double").alias("value"))
+    out = rows.groupBy(*keys, "period").agg(fn("value").cast("double").alias("value"))
     if agg not in ("sum", "count"):
         return out
-    span = out.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
+    span = out.groupBy(*keys).agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
     calendar = span.where(F.col("lo").isNotNull()).select(
-        F.explode(_calendar(F.col("lo"), F.col("hi"), freq)).alias("period")
+        *keys, F.explode(_calendar(F.col("lo"), F.col("hi"), freq)).alias("period")
     )
-    return calendar.join(out, "period", "left").select("period", F.coalesce("value", F.lit(0.0)).alias("value"))
+    filled = null_safe_join(calendar, out, [*by, "period"], "left")
+    return filled.select(*keys, "period", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def pct_change(periods: DataFrame) -> DataFrame:

@@ -78,8 +78,9 @@ def read_parquet(
     return df if limit is None else sample_rows(df, limit, order_by)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
-    """JSON array documents, or one object per line with ``lines`` (which splits large files)."""
+def read_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = True) -> DataFrame:
+    """One JSON object (or array of them) a line, which splits large files over tasks; without ``lines`` documents
+    that span lines, each file in one task."""
     reader = spark.read.option("multiLine", not lines)
     return normalize((reader.schema(schema) if schema else reader).json(path))
 

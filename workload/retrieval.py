@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import word_tokens
-from tablewise.operators import retrieve
+from tablewise.operators import keyword, retrieve
+from tablewise.plans.nearest import nearest
 from tablewise.plans.shape import stored
 from workload.profiling import _rounded
 from workload.registry import query
@@ -210,3 +211,19 @@ def _(t):
 )
 def _(t):
     return retrieve.index_samples(_turn_chunks(t))
+
+
+@query("bm25_search_blocks", "WITH " + _bm25_ctes("documents", "benchmark", 6) + " SELECT query_id, item_id, score, rank FROM kw")
+def _(t):
+    return keyword.search_blocks(retrieve.keyword_index(t.documents), t.benchmark, 6, "item_id", "text")
+
+
+@query(
+    "nearest_by_pivots_embeddings",
+    """WITH d AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+    SELECT query_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM d) WHERE rank <= 3""",
+)
+def _(t):
+    hits = nearest(t.embeddings, t.embeddings, 3, "vec_id", "embedding", "vec_id", "embedding", skip_self=True, max_query_bytes=0)
+    return _rounded(hits, "score").select("query_id", "rank", "score")

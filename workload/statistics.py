@@ -127,13 +127,13 @@ def _(t):
 
 @query(
     "trend_periods_day_gaps",
-    """WITH e AS (SELECT ts::DATE AS period, count(value) AS n FROM events WHERE event_type = 'error' AND user_id = 7 GROUP BY 1),
-       c AS (SELECT unnest(generate_series(min(period), max(period), INTERVAL 1 DAY))::DATE AS period FROM e)
-       SELECT period::VARCHAR AS period, coalesce(n, 0)::DOUBLE AS value FROM c LEFT JOIN e USING (period)""",
+    """WITH e AS (SELECT user_id, ts::DATE AS period, count(value) AS n FROM events WHERE event_type = 'error' AND value IS NOT NULL GROUP BY ALL),
+       c AS (SELECT user_id, unnest(generate_series(min(period), max(period), INTERVAL 1 DAY))::DATE AS period FROM e GROUP BY user_id)
+       SELECT user_id, period::VARCHAR AS period, coalesce(n, 0)::DOUBLE AS value FROM c LEFT JOIN e USING (user_id, period)""",
 )
 def _(t):
-    rows = t.events.where("event_type = 'error' AND user_id = 7")
-    return trend.trend_periods(rows, "ts", "value", "D", "count").withColumn("period", F.col("period").cast("string"))
+    out = trend.trend_periods(t.events.where("event_type = 'error'"), "ts", "value", "D", "count", ["user_id"])
+    return out.withColumn("period", F.col("period").cast("string"))
 
 
 def _trend_sql(period, table, date_col, value_col, freq, agg, agg_sql):
