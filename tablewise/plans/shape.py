@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tablewise.functions.columns import ref
 
 IN_MEMORY_BYTES_KEY = "spark.tablewise.inMemoryBytes"
 IN_MEMORY_BYTES_DEFAULT = 64 * 1024 * 1024
+SHUFFLE_ROWS = 50_000
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -126,6 +128,19 @@ def discard(*tables: DataFrame | None) -> None:
             remove_path(table.sparkSession, path)
 
 
+@contextmanager
+def shuffles_for(spark, rows: int):
+    """Fewer shuffle partitions for small tables that many short jobs go over: about one for ``SHUFFLE_ROWS`` rows, no
+    fewer than the cores and no more than the session has. Jobs must run inside."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), max(spark.sparkContext.defaultParallelism, rows // SHUFFLE_ROWS + 1))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def steady(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later reads see the same rows in the same partitions even after
     executors are lost. Spark's cleaner removes its files once the frame is gone, where
