@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewise.plans.shape import stored
+from tablewise.plans.shape import discard, shuffles_for, stored
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -39,14 +39,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     stored table. Null ends and self-links are ignored.
     """
     now = stored(links.select("a", "b").where("a != b").distinct())
-    mark = None
-    for _ in range(rounds):
-        now = stored(_contract(_contract(now, True), False))
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark:
-            break
-        mark = tuple(new)
-    else:
-        raise RuntimeError("links did not settle")
+    with shuffles_for(now.sparkSession, now.count()):
+        mark = None
+        for _ in range(rounds):
+            last, now = now, stored(_contract(_contract(now, True), False))
+            discard(last)
+            new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if tuple(new) == mark:
+                break
+            mark = tuple(new)
+        else:
+            raise RuntimeError("links did not settle")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select(F.col("b"), F.col("b")).distinct())
