@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,6 @@ from tablewise.plans.shape import one_row
 # Fixed sample sizes of the power curve.
 POWER_CURVE = (10, 20, 50, 100, 200, 500)
 EXACT_RANK_ROWS = 8
-EXACT_TABLE = 1_000_000
 
 
 def two_group_extract(
@@ -163,26 +162,60 @@ def paired_t(
     )
 
 
+def _partitions_to(few: int):
+    """Function of t: the number of ways to write all whole numbers up to t as sums of parts 1 to ``few``.
+
+    On every remainder modulo the least common multiple of the parts it is a polynomial of degree ``few``, so values at
+    ``few`` + 1 points of each give all others, as fractions without rounding.
+    """
+    period = math.lcm(*range(1, few + 1))
+    known = [1] + [0] * (period * (few + 1))
+    for part in [*range(1, few + 1), 1]:  # the last one sums up
+        for t in range(part, len(known)):
+            known[t] += known[t - part]
+
+    def count(t: int) -> int:
+        if t < 0:
+            return 0
+        if t < len(known):
+            return known[t]
+        x, points = Fraction(t // period), [known[t % period + period * j] for j in range(few + 1)]
+        value = Fraction(0)
+        for j, y in enumerate(points):
+            term = Fraction(y)
+            for i in range(few + 1):
+                if i != j:
+                    term *= (x - i) / (j - i)
+            value += term
+        return int(value)
+
+    return count
+
+
 def _exact_u_tail(u: float, n1: int, n2: int, alternative: str) -> float:
-    """Exact null distribution of U for untied samples: the coefficients of a Gaussian binomial, in
-    whole numbers of any size. The product over the smaller side keeps the passes few."""
+    """Exact null distribution of U for untied samples, in whole numbers, for any size of the larger one.
+
+    U counts partitions into at most ``few`` parts of at most ``many``: a Gaussian binomial. Its numerator, a product of
+    ``few`` differences, is written out; the rest are partitions into small parts.
+    """
     few, many = min(n1, n2), max(n1, n2)
-    counts = np.zeros(n1 * n2 + 1, dtype=object)
-    counts[0] = 1
-    for i in range(1, few + 1):
-        shift = many + i
-        if shift < len(counts):
-            counts[shift:] = counts[shift:] - counts[:-shift]
-        for start in range(i):
-            counts[start::i] = np.cumsum(counts[start::i])
-    total = counts.sum()
-    at_least = float(counts[int(math.ceil(u)) :].sum() / total)
-    at_most = float(counts[: int(math.floor(u)) + 1].sum() / total)
+    ways, total = _partitions_to(few), math.comb(n1 + n2, few)
+
+    def at_most(t: int) -> int:
+        out = 0
+        for chosen in range(1 << few):
+            lifted = [many + i + 1 for i in range(few) if chosen >> i & 1]
+            out += (-1) ** len(lifted) * ways(t - sum(lifted))
+        return out
+
+    # the distribution is symmetric
+    low = float(Fraction(at_most(math.floor(u)), total)) if u >= 0 else 0.0
+    high = float(Fraction(at_most(math.floor(n1 * n2 - u)), total)) if u <= n1 * n2 else 0.0
     if alternative == "greater":
-        return at_least
+        return high
     if alternative == "less":
-        return at_most
-    return min(1.0, 2 * min(at_least, at_most))
+        return low
+    return min(1.0, 2 * min(high, low))
 
 
 def mannwhitney(
@@ -194,13 +227,11 @@ def mannwhitney(
     col_b: str | None = None,
     alpha: float = 0.05,
     alternative: str = "two-sided",
-    exact_table: int = EXACT_TABLE,
 ) -> DataFrame:
     """Mann-Whitney U of sample a: average ranks, tie and continuity corrected normal p-value.
 
     Ranks come from counts per distinct value, so no row is ever joined back. With at most
-    eight rows on one side and no ties the exact distribution is used, as long as its counts (one
-    per value of U, held by the driver) are at most ``exact_table``.
+    eight rows on one side and no ties the exact distribution is used.
     """
     spark = df.sparkSession
     rows = two_group_extract(df, col_a, group_col, group_a, group_b, col_b)
@@ -217,7 +248,7 @@ def mannwhitney(
     n1, n2 = a[1], b[1]
     n = n1 + n2
     u = totals["rank_sum"] - n1 * (n1 + 1) / 2
-    if totals["ties"] == 0 and min(n1, n2) <= EXACT_RANK_ROWS and n1 * n2 <= exact_table:
+    if totals["ties"] == 0 and min(n1, n2) <= EXACT_RANK_ROWS:
         p = _exact_u_tail(u, n1, n2, alternative)
     else:
         sd = math.sqrt(n1 * n2 / 12 * ((n + 1) - totals["ties"] / (n * (n - 1))))

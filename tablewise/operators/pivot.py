@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import as_double, as_text, numeric_columns, present, ref, require_columns, text_columns
+from tablewise.plans.ordering import row_index
 from tablewise.plans.quantiles import exact_quantiles
-from tablewise.plans.shape import null_safe_join
+from tablewise.plans.shape import null_safe_join, steady
 
 AGGREGATES = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)),
@@ -20,9 +21,6 @@ AGGREGATES = {
     "count": lambda c: F.count(c).cast("double"),
 }
 
-# Largest level product that is written out in full before only the needed rows are looked for.
-FULL_GRID_ROWS = 1_000_000
-
 
 def multidim_pivot(
     df: DataFrame,
@@ -74,38 +72,53 @@ def _cells(narrow: DataFrame, index: list[str], values: str, agg: str, pivoted:
     return wide, levels
 
 
+def first_empty_cells(cells: DataFrame, index: Sequence[str], count: int) -> DataFrame:
+    """The first ``count`` combinations of index levels, in index order, that are no row of ``cells``.
+
+    A combination is the number that its level positions spell in mixed radix. If a present number has k missing
+    ones below it, every missing one from the k-th on lies beyond it; so how many present numbers have few
+    missing ones below tells the first missing numbers. The product of the levels is never made.
+    """
+    spark = cells.sparkSession
+    rows, number, levels = cells.select(*[ref(i).alias(f"_k{k}") for k, i in enumerate(index)]).distinct(), F.lit(0).cast("decimal(38,0)"), []
+    for k in range(len(index)):
+        level = steady(row_index(rows.select(f"_k{k}").distinct(), [F.col(f"_k{k}").asc_nulls_first()], name=f"_p{k}"))
+        levels.append((level, level.count()))
+    numbered, total = rows, 1
+    for k, (level, size) in enumerate(levels):
+        numbered = null_safe_join(numbered, level, [f"_k{k}"])
+        number = (number * F.lit(size).cast("decimal(38,0)") + F.col(f"_p{k}")).cast("decimal(38,0)")
+        total *= size
+    ranked = row_index(numbered.select(number.alias("_v")), ["_v"], name="_i")
+    below = (F.col("_v") - F.col("_i")).cast("decimal(38,0)")
+    few = ranked.where(below < count).groupBy(below.cast("long").alias("missing")).agg(F.count("*").alias("n"))
+    passed = {r["missing"]: r["n"] for r in few.collect()}  # at most ``count`` rows
+    found, present_ = [], 0
+    for k in range(count):
+        present_ += passed.get(k, 0)
+        value, at = k + present_, []
+        if value >= total:
+            break
+        for _, size in reversed(levels):
+            value, place = divmod(value, size)
+            at.append(place)
+        found.append(tuple(reversed(at)))
+    out = spark.createDataFrame(found, ", ".join(f"_p{k} long" for k in range(len(index))))
+    for k, (level, _) in enumerate(levels):
+        out = out.join(level, f"_p{k}")
+    return out.select(*[F.col(f"_k{k}").alias(i) for k, i in enumerate(index)])
+
+
 def _complete(
     narrow: DataFrame, cells: DataFrame, index: list[str], names: list[str], fillna: float | None, top_n: int
 ) -> DataFrame:
     fill = F.lit(fillna).cast("double")
-
-    def filled(c: str) -> Column:
-        return F.coalesce(ref(c), fill).alias(c)
-
-    real = cells.select(*[ref(i) for i in index], *[filled(c) for c in names], F.lit(True).alias("_real"))
+    real = cells.select(*[ref(i) for i in index], *[F.coalesce(ref(c), fill).alias(c) for c in names], F.lit(True).alias("_real"))
     order = [ref(names[-1]).desc_nulls_last(), F.col("_real").desc_nulls_last(), *[ref(i) for i in index]]
     if len(index) == 1:
         return real.orderBy(*order).limit(top_n).drop("_real")
-    sizes = cells.agg(*[F.count_distinct(F.struct(ref(i))).alias(f"c{k}") for k, i in enumerate(index)]).first()
-    grid_rows = 1
-    for k in range(len(index)):
-        grid_rows *= max(int(sizes[f"c{k}"]), 1)
-    if grid_rows > FULL_GRID_ROWS:
-        floor = fillna if fillna is not None else float("-inf")
-        winners = real.where(ref(names[-1]) >= floor).limit(top_n).count()
-        if winners >= top_n:  # no empty combination can enter the result
-            return real.orderBy(*order).limit(top_n).drop("_real")
-        grid = None
-        for i in index:
-            level = cells.select(ref(i)).distinct()
-            grid = level if grid is None else grid.join(level)
-    else:
-        levels = cells.agg(*[F.collect_set(F.struct(ref(i))).alias(f"_l{k}") for k, i in enumerate(index)])
-        grid = levels
-        for k, i in enumerate(index):
-            grid = grid.withColumn(f"_e{k}", F.explode(f"_l{k}")).drop(f"_l{k}")
-        grid = grid.select(*[F.col(f"_e{k}")[i].alias(i) for k, i in enumerate(index)])
-    full = null_safe_join(grid, real, index, "left").select(
-        *[ref(i) for i in index], *[filled(c) for c in names], F.coalesce("_real", F.lit(False)).alias("_real")
+    # empty cells all hold the same value, so no more than the first ``top_n`` of them can be in the result
+    empty = first_empty_cells(cells, index, top_n).select(
+        *[ref(i) for i in index], *[fill.alias(c) for c in names], F.lit(False).alias("_real")
     )
-    return full.orderBy(*order).limit(top_n).drop("_real")
+    return real.unionByName(empty).orderBy(*order).limit(top_n).drop("_real")

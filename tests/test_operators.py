@@ -78,12 +78,27 @@ def test_pivot_keeps_the_product_and_null_level(spark):
     assert len(out) == 6 and out[("a", 2)] == 0.0 and out[(None, 1)] == 4.0
 
 
-def test_pivot_beyond_the_grid_limit(spark, monkeypatch):
+def test_pivot_fills_the_first_empty_cells(spark):
     df = spark.createDataFrame([(i, i % 7, float(i)) for i in range(60)], "r int, c int, v double")
-    want = pivot.multidim_pivot(df, ["r", "c"], "v", top_n=5).collect()
-    monkeypatch.setattr(pivot, "FULL_GRID_ROWS", 10)
-    assert pivot.multidim_pivot(df, ["r", "c"], "v", top_n=5).collect() == want
+    assert [(r.r, r.c, r.v) for r in pivot.multidim_pivot(df, ["r", "c"], "v", top_n=5).collect()] == [(i, i % 7, float(i)) for i in range(59, 54, -1)]
     assert pivot.multidim_pivot(df, ["r", "c"], "v", top_n=400).count() == 400
+    rng = np.random.default_rng(5)
+    for seed in range(4):
+        sizes = [int(x) for x in rng.integers(1, 5, 3)]
+        rows = {tuple(None if x == 0 else int(x) for x in rng.integers(0, sizes)) for _ in range(rng.integers(1, 25))}
+        levels = [sorted({r[k] for r in rows}, key=lambda x: (x is not None, x or 0)) for k in range(3)]
+        want = [c for c in itertools.product(*levels) if c not in rows]
+        cells = spark.createDataFrame(list(rows), "a int, b int, c int")
+        for count in (1, 3, 200):
+            got = [tuple(r) for r in pivot.first_empty_cells(cells, ["a", "b", "c"], count).collect()]
+            assert sorted(got, key=str) == sorted(want[:count], key=str)
+
+
+def test_pivot_of_a_thousand_levels_each(spark):
+    df = spark.range(1000).selectExpr("id AS a", "(id * 7) % 1000 AS b", "(id * 13) % 1000 AS c", "id * 1.0D - 900 AS v")
+    out = pivot.multidim_pivot(df, ["a", "b", "c"], "v", top_n=150).collect()
+    assert len(out) == 150 and [r.v for r in out[:99]] == [float(x) for x in range(99, 0, -1)]
+    assert sorted((r.a, r.b, r.c) for r in out[100:]) == [(0, 0, i) for i in range(1, 51)]
 
 
 # ---- SQL sandbox ----
