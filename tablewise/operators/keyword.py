@@ -28,6 +28,8 @@ BLOCK_POSTINGS = 4096
 BUCKETS = 64
 #: Strongest terms of a query whose best postings set the floor, and postings of a block that are tried, for each hit wanted.
 SEED_TERMS, SEED_POSTINGS = 6, 4
+#: Parts of a score are added as whole numbers of this fraction.
+FIXED_POINT = 1e12
 #: Scores are rounded before they are compared, so bounds keep this distance.
 SLACK = 10.0 ** -(SCORE_DIGITS - 1)
 
@@ -88,15 +90,15 @@ def open_index(spark, folder: str) -> KeywordIndex:
 
 
 def _scored(index: KeywordIndex, weighted: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Full scores of (query, document) pairs. Sums are of decimals, so the order of rows does not matter."""
+    """Full scores of (query, document) pairs. Sums are of whole numbers, so the order of rows does not matter."""
     docs = index.postings.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     asked = pairs.join(weighted.select("query_id", "term", "qtf", "idf"), "query_id")
     part = F.col("idf") * _impact(F.col("tf"), F.col("doc_len"), index.average)
     return (
         asked.join(docs, ["doc_id", "term"])
         .groupBy("query_id", F.col("doc_id").alias("item_id"))
-        .agg(F.sum((F.col("qtf") * part).cast("decimal(28,12)")).alias("score"))
-        .withColumn("score", F.round(F.col("score"), SCORE_DIGITS).cast("double"))
+        .agg(F.sum(F.round(F.col("qtf") * part * FIXED_POINT).cast("long")).alias("score"))
+        .withColumn("score", F.round(F.col("score") / FIXED_POINT, SCORE_DIGITS))
     )
 
 

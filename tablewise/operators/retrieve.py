@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import ref, require_between, require_columns, word_tokens
-from tablewise.operators.keyword import B, K1, KeywordIndex, build_index, search_blocks
+from tablewise.operators.keyword import B, FIXED_POINT, K1, KeywordIndex, build_index, search_blocks
 from tablewise.plans.nearest import SCORE_DIGITS, nearest, top_per_query
 from tablewise.plans.shape import spread, stored
 
@@ -171,7 +171,7 @@ def search_index(
     """Search the postings of :func:`bm25_index`, of which ``documents`` is the number of documents.
 
     Document frequencies, lengths and scores all come from the postings; repeated query terms add up.
-    Scores are summed as decimals, so that they do not depend on the order of the rows.
+    Scores are summed in fixed point, so that they do not depend on the order of the rows.
     """
     total = index.agg(F.sum("tf")).first()[0] or 0
     average = total / documents if total else 1.0
@@ -188,8 +188,8 @@ def search_index(
     scored = (
         wanted.join(asked.join(weights, "term"), "term")
         .groupBy("query_id", F.col("doc_id").alias("item_id"))
-        .agg(F.sum((F.col("qtf") * part).cast("decimal(28,12)")).alias("score"))
-        .withColumn("score", F.round(F.col("score"), SCORE_DIGITS).cast("double"))
+        .agg(F.sum(F.round(F.col("qtf") * part * FIXED_POINT).cast("long")).alias("score"))
+        .withColumn("score", F.round(F.col("score") / FIXED_POINT, SCORE_DIGITS))
     )
     return top_per_query(scored.where(F.col("score") > 0), top_k)
 

@@ -689,12 +689,42 @@ def _(t):
     return features.select_features(rows, rows.columns)
 
 
-@query("split_feature_types_documents")
+def _role_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS feature, CASE WHEN count(try_cast(v AS TIMESTAMP)) >= {features.PARSE_SHARE} * count(v) AND count(v) > 0 THEN 'datetime'
+      WHEN count(DISTINCT v) <= {features.ONE_HOT_LEVELS} THEN 'one_hot'
+      WHEN count(DISTINCT v) <= {features.TARGET_LEVELS} AND count(DISTINCT v)::DOUBLE / count(*) <= {features.TARGET_UNIQUE_SHARE} THEN 'target_encoded'
+      WHEN avg(len(list_filter(regexp_split_to_array(v, '\\s+'), lambda w: w <> ''))) > {features.TEXT_WORDS} THEN 'text' ELSE 'dropped' END AS role
+      FROM (SELECT {column}::VARCHAR AS v FROM r)"""
+
+
+@query(
+    "split_feature_types_documents",
+    "WITH r AS (SELECT d.*, l.* EXCLUDE (doc_id), '2024-01-05' AS day FROM documents d LEFT JOIN labels l USING (doc_id)) "
+    + " UNION ALL ".join(
+        [_role_sql(c) for c in ("text", "lang", "source", "day")]
+        + [f"SELECT '{c}' AS feature, 'numeric' AS role" for c in ("doc_id", "n_chars", "quality", "toxic")]
+    ),
+)
 def _(t):
     rows = t.documents.join(t.labels, "doc_id", "left").withColumn("day", F.lit("2024-01-05"))
     return features.split_feature_types(rows, rows.columns)
 
 
-@query("interaction_features_lineitem")
+_SCALED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "interaction_features_lineitem",
+    "WITH s AS (SELECT "
+    + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS d{i}" for i, c in enumerate(_SCALED))
+    + " FROM lineitem), z AS (SELECT "
+    + ", ".join(f"({c} - m{i}) / d{i} AS z{i}" for i, c in enumerate(_SCALED))
+    + " FROM lineitem, s) "
+    + " UNION ALL ".join(
+        f'SELECT \'{_SCALED[a]}\' AS "left", \'{_SCALED[b]}\' AS "right", round(var_pop(z{a} * z{b}), 6) AS variance FROM z'
+        for a in range(4)
+        for b in range(a + 1, 4)
+    ),
+)
 def _(t):
-    return features.fit_interactions(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return _rounded(features.fit_interactions(t.lineitem, _SCALED), "variance", digits=6)

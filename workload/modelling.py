@@ -295,9 +295,21 @@ def _(t):
     return forecast.infer_steps(daily_orders(t), "day", ["o_orderpriority"])
 
 
-@query("holt_forecast_daily")
+@query(
+    "holt_forecast_daily",
+    f"""WITH RECURSIVE d AS (SELECT o_orderpriority AS p, row_number() OVER (PARTITION BY o_orderpriority ORDER BY day) AS i, total AS y,
+        lead(total) OVER (PARTITION BY o_orderpriority ORDER BY day) AS nxt, avg(total) OVER (PARTITION BY o_orderpriority) AS mean, count(*) OVER (PARTITION BY o_orderpriority) AS n
+        FROM (SELECT o_orderpriority, o_orderdate::DATE AS day, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL)),
+      w AS (SELECT unnest({list(forecast.ALPHAS)}::DOUBLE[]) AS a), v AS (SELECT unnest({list(forecast.BETAS)}::DOUBLE[]) AS b),
+      s AS (SELECT p, a, b, i, y AS l, nxt - y AS t, 0.0::DOUBLE AS sse FROM d, w, v WHERE i = 1
+        UNION ALL SELECT s.p, a, b, d.i, a * y + (1 - a) * (l + t), b * (a * y + (1 - a) * (l + t) - l) + (1 - b) * t, sse + (y - l - t) * (y - l - t)
+        FROM s JOIN d ON d.p = s.p AND d.i = s.i + 1),
+      e AS (SELECT s.*, n, mean, row_number() OVER (PARTITION BY s.p ORDER BY sse, a, b) AS r FROM s JOIN d ON d.p = s.p AND d.i = s.i AND d.i = d.n)
+      SELECT p AS o_orderpriority, step::INT AS step, round(CASE WHEN n < 4 THEN mean ELSE l + step * t END, 2) AS forecast FROM e, (SELECT unnest(range(1, 15)) AS step) WHERE r = 1""",
+)
 def _(t):
-    return forecast.holt_forecast(daily_orders(t), "day", "total", 14, ["o_orderpriority"], block_rows=500)
+    out = forecast.holt_forecast(daily_orders(t), "day", "total", 14, ["o_orderpriority"], block_rows=500)
+    return _rounded(out, "forecast", digits=2)
 
 
 @query("forecast_with_model_daily")
