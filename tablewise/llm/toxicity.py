@@ -166,7 +166,7 @@ def fit_toxicity(
 
     ``learn`` is a condition on ``doc_id`` for the labels to use. The score's slope and offset are fit
     on ratios that each half of the sample gets from the model of the other half. Rows without a label
-    of 1 or another number are left out. With no toxic label at all every score is near 0.
+    of 1 or another number are left out; a document with several labels counts once for each. With no toxic label at all every score is near 0.
     """
     sample = stored(labelled_sample(docs, labels, F.lit(True) if learn is None else learn, rows_per_class, id_col, text_col, label_col))
     counted = sample.mapInArrow(_count, "gram long, o0 long, o1 long, t0 long, t1 long")
@@ -197,7 +197,12 @@ def fit_toxicity(
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "toxicity") -> DataFrame:
-    """All rows and columns and the score of the whole text; null and empty texts score as no text."""
+    """All rows and columns and the score of the whole text; null and empty texts score as no text.
+
+    ``name`` must not be a column yet, whatever its case.
+    """
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {name} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 

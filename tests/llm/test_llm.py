@@ -486,3 +486,28 @@ def test_sketches_bound_the_difference():
                 y = np.concatenate([x[: int(part * n)], rng.integers(0, 2**64, m, np.uint64)])
                 apart = len(np.setxor1d(x, y))
                 assert sketch_distance(sketch(np.unique(x)), sketch(np.unique(y))) <= apart
+
+
+def test_pipeline_stages_with_awkward_rows(spark, rows):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    schema = SCHEMA + ", _toxicity double, node long, home int, _TOXICITY_ string"
+    docs = spark.createDataFrame([(*r, 0.5, 1, 2, "t") for r in rows], schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, docs, folder)
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        if name == "packing":
+            ends = kept.where("start = 0").count()
+            assert ends == len(rows) and kept.where("doc_id is null").count() >= 1
+            continue
+        assert kept.columns == docs.columns
+        found = kept.select("doc_id", "shard", "_toxicity", "node").collect()
+        assert all(tuple(r)[1:] == (9, 0.5, 1) for r in found)
+        # rows without a key or a text stay
+        assert None in {r.doc_id for r in found} and {0, 3} & {r.doc_id for r in found}
+
+
+def test_header_of_many_digits_is_no_picture():
+    assert media.read_pnm(b"P5 " + b"9" * 5000 + b" 1 255\n0") is None
+    assert media.read_pnm(b"P5 2 1 255\n\x01\x02").tolist() == [[1.0, 2.0]]
