@@ -15,7 +15,7 @@ import pyarrow as pa
 from tablewise.llm.batches import coded, spread_indices
 
 #: Cuts a worker remembers; beyond it starts anew. About 150 bytes each.
-CACHE = 100_000
+CACHE = 300_000
 #: Cuts encoded in one line.
 JOINED = 300
 
