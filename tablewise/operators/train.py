@@ -40,6 +40,8 @@ INTERACTION_MIN_COLS, INTERACTION_MIN_ROWS = 3, 200
 AUTO_MIN_ROWS, TUNE_MIN_ROWS, CALIBRATE_MIN_ROWS = 30, 50, 100
 TUNE_DRAWS, TUNE_FOLDS, CALIBRATE_FOLDS, AUTO_FOLDS = 10, 3, 3, 3
 SMOTE_MIN_MINORITY, SMOTE_NEIGHBOURS = 6, 5
+# Rows of a partition that candidates are fitted on, at least.
+FIT_ROWS = 20_000
 # Imbalance that a model family bears: those that take no class weights bear less.
 SMOTE_RATIO = 10
 SMOTE_LIMITS = {"gradient_boosting": 5, "knn": 5}
@@ -540,7 +542,9 @@ def prepared_folds(
     def one(split):
         train, held = split
         p = prepare(train, target, roles, task, labels, key)
-        p.ready = stored(p.ready.select("_label", "_features", *(["_weight"] if task == "classification" else [])))
+        narrow = p.ready.select("_label", "_features", *(["_weight"] if task == "classification" else []))
+        # every partition sends the statistics of every node that grows, so small tables keep to few
+        p.ready = stored(narrow.coalesce(math.ceil(max(p.n, 1) / FIT_ROWS)))
         for s in p.stages:
             held = s.transform(held)
         return Fold(p, stored(held.select(ref(target), "_features")))
