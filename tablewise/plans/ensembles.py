@@ -97,7 +97,8 @@ def _nodes(model):
 
     The model's own files are read back: a model lies on the driver as a whole anyway.
     """
-    spark = SparkSession.getActiveSession()
+    # threads of side-by-side fits have no active session of their own
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     path = f"{shared_folder(spark)}/tablewise-model-{uuid.uuid4().hex}"
     model.write().save(path)
     table = spark.read.parquet(f"{path}/data")
