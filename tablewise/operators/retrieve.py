@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewise.functions.columns import ref, require_between, require_columns, word_tokens
-from tablewise.operators.keyword import B, FIXED_POINT, K1, KeywordIndex, build_index, search_blocks
+from tablewise.operators.keyword import KeywordIndex, best_documents, build_index, search_blocks
 from tablewise.plans.nearest import SCORE_DIGITS, nearest, top_per_query
 from tablewise.plans.shape import spread, stored
 
@@ -180,18 +180,11 @@ def search_index(
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    wanted = index.join(terms, "term", "left_semi")
     df = F.col("df")
     weights = document_frequency(wanted).select("term", F.ln((documents - df + 0.5) / (df + 0.5) + 1).alias("idf"))
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / F.lit(average)))
-    scored = (
-        wanted.join(asked.join(weights, "term"), "term")
-        .groupBy("query_id", F.col("doc_id").alias("item_id"))
-        .agg(F.sum(F.round(F.col("qtf") * part * FIXED_POINT).cast("long")).alias("score"))
-        .withColumn("score", F.round(F.col("score") / FIXED_POINT, SCORE_DIGITS))
-    )
-    return top_per_query(scored.where(F.col("score") > 0), top_k)
+    return best_documents(index, average, stored(asked.join(weights, "term")), top_k)
 
 
 # ---- vector and hybrid search ----

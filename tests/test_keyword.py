@@ -43,3 +43,21 @@ def test_frequent_words_pair_few_documents(spark, docs):
     queries = spark.createDataFrame([(0, "word7 the"), (1, "word8 of and"), (2, "word100 in")], "query_id int, query string")
     cost = keyword.search_cost(index, queries, 5).first()
     assert cost.pairs_scored * 2 < cost.pairs_sharing_a_word
+
+
+def test_scoring_makes_no_rows_of_pairs(spark, docs, monkeypatch):
+    queries = spark.createDataFrame([(i, f"the of and word{i}") for i in range(40)] + [(None, "the")], "query_id int, query string")
+    odd = docs.union(spark.createDataFrame([(None, "the word1"), (None, "of of word2 the"), (7, "the and word3"), (7, "the and word3")], docs.schema))
+    key = lambda rows: sorted((r.query_id or -1, r["rank"], r.item_id or -1, r.score) for r in rows)
+    found = retrieve.bm25_search(odd, queries, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "MapInArrow" in plan
+    want = key(found.collect())
+    monkeypatch.setattr(keyword, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(keyword, "SCORE_BYTES", 8 * 41 * 2)
+    monkeypatch.setattr(keyword, "PRODUCTS", 3)
+    assert key(retrieve.bm25_search(odd, queries, 5).collect()) == want
+    assert key(keyword.search_blocks(retrieve.keyword_index(odd), queries, 5).collect()) == want
+    monkeypatch.setattr(keyword, "BROADCAST_TERMS", 0)
+    assert key(retrieve.bm25_search(odd, queries, 5).collect()) == want
+    assert key(keyword.search_blocks(retrieve.keyword_index(odd), queries, 5).collect()) == want
