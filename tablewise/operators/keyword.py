@@ -64,15 +64,25 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _parts(postings: DataFrame, documents: int, average: float) -> tuple[DataFrame, DataFrame]:
+def _parts(postings: DataFrame, average: float) -> tuple[DataFrame, DataFrame]:
+    """Blocks and terms. A term of few postings is one block of level 0; others have blocks by level, dealt by document."""
     impact = _impact(F.col("tf"), F.col("doc_len"), average)
     rows = postings.select("term", "doc_id", impact.alias("impact"))
     level = F.floor(F.col("impact") * (LEVELS / (K1 + 1))).cast("int")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, documents // BLOCK_POSTINGS))).cast("int")
-    blocks = rows.groupBy("term", level.alias("level"), salt.alias("salt")).agg(
+    many = F.col("df") > BLOCK_POSTINGS
+    terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("best"), F.max(level).alias("level"))
+    terms = stored(terms.withColumn("level", F.when(many, F.col("level")).otherwise(0)))
+    frequent = terms.where(many).select("term", "df")
+    # each has more than BLOCK_POSTINGS postings; a number proven small travels
+    frequent = F.broadcast(frequent) if frequent.count() <= BROADCAST_TERMS else frequent
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / BLOCK_POSTINGS)).cast("int")
+    dealt = rows.join(frequent, "term", "left").select(
+        "term", F.when(many, level).otherwise(0).alias("level"), F.when(many, salt).otherwise(0).alias("salt"), "impact", "doc_id"
+    )
+    # dealt first, so that lists are gathered once
+    blocks = dealt.repartition("term", "level", "salt").groupBy("term", "level", "salt").agg(
         F.max("impact").alias("best"), F.sort_array(F.collect_list(F.struct("impact", "doc_id")), False).alias("held")
     )
-    terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("best"), F.max(level).alias("level"))
     return blocks.withColumn("bucket", _bucket(F.col("term"))), terms
 
 
@@ -81,8 +91,8 @@ def build_index(postings: DataFrame, documents: int) -> KeywordIndex:
     kept = stored(postings)
     total = kept.agg(F.sum("tf")).first()[0] or 0
     average = total / documents if total else 1.0
-    blocks, terms = _parts(kept, documents, average)
-    return KeywordIndex(kept, stored(blocks), stored(terms), documents, average)
+    blocks, terms = _parts(kept, average)
+    return KeywordIndex(kept, stored(blocks), terms, documents, average)
 
 
 def write_index(index: KeywordIndex, folder: str) -> None:

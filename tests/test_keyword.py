@@ -61,3 +61,10 @@ def test_scoring_makes_no_rows_of_pairs(spark, docs, monkeypatch):
     monkeypatch.setattr(keyword, "BROADCAST_TERMS", 0)
     assert key(retrieve.bm25_search(odd, queries, 5).collect()) == want
     assert key(keyword.search_blocks(retrieve.keyword_index(odd), queries, 5).collect()) == want
+
+
+def test_rare_terms_are_one_block_each(spark, docs):
+    index = retrieve.keyword_index(docs)
+    assert index.terms.agg({"df": "max"}).first()[0] <= keyword.BLOCK_POSTINGS
+    assert index.blocks.count() == index.terms.count()
+    assert index.blocks.selectExpr("sum(size(held))").first()[0] == index.postings.count()
