@@ -1,7 +1,7 @@
 """Exact linear-interpolation quantiles at any size.
 
-When the plan is proven small the built-in ``percentile`` runs inside one aggregate. Beyond
-that, distinct values are counted (map-side combine), globally ordered in slices, and the two
+When the plan and its number of values are proven small the built-in ``percentile`` runs inside one
+aggregate, whose last step is one task. Beyond that, distinct values are counted (map-side combine), globally ordered in slices, and the two
 order statistics around each quantile are picked by their running count.
 """
 
@@ -17,6 +17,15 @@ from tablewise.plans.ordering import running_sums
 from tablewise.plans.shape import fits_in_memory, grouped_rows_from_aggregate, long_form, null_safe_join, spread
 
 
+#: Values that one task may merge for built-in percentiles. A small file of packed columns can hold far more.
+INLINE_VALUES = 4_000_000
+
+
+def fits_one_task(df: DataFrame, columns: int) -> bool:
+    """True when one task may hold the distinct values of so many columns of ``df``."""
+    return fits_in_memory(df) and df.count() * columns <= INLINE_VALUES
+
+
 def percentile_expr(value: Column, probs: Sequence[float]) -> Column:
     return F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
 
@@ -26,7 +35,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """``by..., column, quantiles array<double>`` aligned with ``probs``; NULL when no value."""
     narrow = df.select(*[ref(b) for b in by], *[as_double(df, c).alias(f"_v{i}") for i, c in enumerate(cols)])
-    if fits_in_memory(narrow):
+    if fits_one_task(narrow, len(cols)):
         agg = spread(narrow).groupBy(*[ref(b) for b in by]).agg(
             *[percentile_expr(F.col(f"_v{i}"), probs).alias(f"_v{i}") for i in range(len(cols))]
         )

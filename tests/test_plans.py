@@ -89,3 +89,17 @@ def test_pivots_lose_no_neighbour(spark, metric, skip, monkeypatch):
         near = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items[::5])], "query_id long, vector array<double>")
         cost = copied_rows(cdf, near, 6, metric=metric, block_rows=100).first()
         assert cost.rows_copied < cost.rows_of_all_cells / 4
+
+
+def test_many_values_in_a_small_file_are_not_merged_in_one_task(spark, tmp_path, monkeypatch):
+    from tablewise.operators import profile
+    from tablewise.plans import quantiles
+
+    spark.range(20_000).selectExpr("id", "id % 7 AS few", "cast(null AS double) AS none").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = lambda: profile.numeric_summary(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" in plan()
+    want = sorted(map(str, profile.numeric_summary(df).collect()))
+    monkeypatch.setattr(quantiles, "INLINE_VALUES", 50_000)
+    assert "percentile(" not in plan()
+    assert sorted(map(str, profile.numeric_summary(df).collect())) == want
