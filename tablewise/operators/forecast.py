@@ -234,13 +234,13 @@ def ml_rollout(model: Trained, df: DataFrame, horizon: int, key: Sequence[str] =
     simple = all(isinstance(state.schema[x].dataType, (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType)) for x in repeated)
     if model_arrays(model) is None or not simple:
         return _rollout_by_steps(model, df, state, horizon, made, series, sort_col, carried, repeated, lag_cols, need)
-    walked = state.withColumn("_walk", walk).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    walked = walked.withColumn("_when", F.element_at("_walk", F.col("step"))).withColumn("date", F.to_date(F.element_at("_walk", F.col("step") + 1)))
+    walked = state.withColumn("_walk", walk).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    walked = walked.withColumn("_when", F.element_at("_walk", F.col("_nth"))).withColumn("_on", F.to_date(F.element_at("_walk", F.col("_nth") + 1)))
     inputs = walked.drop("_walk").withColumns(made)
     if sort_col in model.feature_cols:
         inputs = inputs.withColumn(sort_col, F.col("_when").cast(df.schema[sort_col].dataType))
     past = F.array(*[F.col(f"_h_{x}") for x in lag_cols])
-    rows = model_vectors(model, inputs, [*[ref(x) for x in series], F.col("step"), F.col("date"), past.alias("_past")])
+    rows = model_vectors(model, inputs, [*[ref(x) for x in series], F.col("_nth").alias("step"), F.col("_on").alias("date"), past.alias("_past")])
     return rows.mapInArrow(_rollout_task(model, horizon, series, repeated, state.schema), T.StructType(
         [*[rows.schema[x] for x in series], T.StructField("step", T.IntegerType()), T.StructField("date", T.DateType()), T.StructField("prediction", T.DoubleType())]
     ))
