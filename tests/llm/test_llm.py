@@ -418,6 +418,20 @@ def test_near_copies_lose_no_link_above_the_limit(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == want
 
 
+def test_pairs_of_linked_components_are_spared(spark):
+    from tablewise.llm.near_copies import _still_apart
+
+    pairs = [(11, 21, 1, 2), (12, 22, 1, 2), (11, 31, 1, 3), (21, 31, 2, 3), (31, 41, 3, 4)]
+    pairs = spark.createDataFrame(pairs, "a long, b long, ca long, cb long")
+    for links, want in (
+        ([], {(11, 21), (12, 22), (11, 31), (21, 31), (31, 41)}),
+        ([(1, 2)], {(11, 31), (21, 31), (31, 41)}),
+        ([(1, 2), (2, 3)], {(31, 41)}),  # by way of a third one
+    ):
+        links = spark.createDataFrame(links, "a long, b long")
+        assert {tuple(r) for r in _still_apart(pairs, links).collect()} == want
+
+
 def test_near_copies_are_alike_by_sets_only(spark):
     from tablewise.llm.near_copies import keep_first, near_copies
 
