@@ -42,6 +42,8 @@ TUNE_DRAWS, TUNE_FOLDS, CALIBRATE_FOLDS, AUTO_FOLDS = 10, 3, 3, 3
 SMOTE_MIN_MINORITY, SMOTE_NEIGHBOURS = 6, 5
 # Rows of a partition that candidates are fitted on, at least.
 FIT_ROWS = 20_000
+# Places in trees (rows times trees) that a fit remembers; beyond it, rows walk from the root at every level.
+CACHED_PLACES = 1 << 27
 # Imbalance that a model family bears: those that take no class weights bear less.
 SMOTE_RATIO = 10
 SMOTE_LIMITS = {"gradient_boosting": 5, "knn": 5}
@@ -269,6 +271,7 @@ def estimator(task: str, model_type: str, n: int, n_labels: int = 2, weighted: b
     p = params or {}
     family = resolve_model_type(model_type)
     common = {"featuresCol": "_features", "labelCol": "_label", "predictionCol": "_prediction"}
+    cached = {"cacheNodeIds": n * p.get("trees", 200) <= CACHED_PLACES}  # the trees are the same either way
     if task == "classification":
         if weighted and family != "gradient_boosting":
             common["weightCol"] = "_weight"
@@ -280,7 +283,7 @@ def estimator(task: str, model_type: str, n: int, n_labels: int = 2, weighted: b
         makers: dict[str, Callable] = {
             "logistic_regression": lambda: LogisticRegression(regParam=1.0 / max(n, 1), standardization=False, maxIter=100, **common, **prob),
             "random_forest": lambda: RandomForestClassifier(
-                numTrees=p.get("trees", 200), maxDepth=p.get("depth", 12), minInstancesPerNode=p.get("leaf", 1), seed=SEED, **common, **prob
+                numTrees=p.get("trees", 200), maxDepth=p.get("depth", 12), minInstancesPerNode=p.get("leaf", 1), seed=SEED, **cached, **common, **prob
             ),
             "gradient_boosting": lambda: GBTClassifier(
                 maxIter=p.get("trees", 100), maxDepth=p.get("depth", 3), stepSize=p.get("step", 0.1), seed=SEED, **common
@@ -295,7 +298,7 @@ def estimator(task: str, model_type: str, n: int, n_labels: int = 2, weighted: b
             "ridge_regression": lambda: LinearRegression(regParam=1.0 / max(n, 1), **linear),
             "lasso_regression": lambda: LinearRegression(regParam=1.0, elasticNetParam=1.0, **linear),
             "random_forest": lambda: RandomForestRegressor(
-                numTrees=p.get("trees", 200), maxDepth=p.get("depth", 12), minInstancesPerNode=p.get("leaf", 1), seed=SEED, **common
+                numTrees=p.get("trees", 200), maxDepth=p.get("depth", 12), minInstancesPerNode=p.get("leaf", 1), seed=SEED, **cached, **common
             ),
             "gradient_boosting": lambda: GBTRegressor(maxIter=p.get("trees", 100), maxDepth=p.get("depth", 3), stepSize=p.get("step", 0.1), seed=SEED, **common),
             "decision_tree": lambda: DecisionTreeRegressor(maxDepth=8, seed=SEED, **common),

@@ -103,3 +103,11 @@ def test_many_values_in_a_small_file_are_not_merged_in_one_task(spark, tmp_path,
     monkeypatch.setattr(quantiles, "INLINE_VALUES", 50_000)
     assert "percentile(" not in plan()
     assert sorted(map(str, profile.numeric_summary(df).collect())) == want
+
+
+def test_small_forest_fits_remember_places(spark):
+    from tablewise.operators import train
+
+    for task in ("regression", "classification"):
+        assert train.estimator(task, "random_forest", 1000, params={"trees": 300, "depth": 30, "leaf": 1}).getCacheNodeIds()
+        assert not train.estimator(task, "random_forest", train.CACHED_PLACES).getCacheNodeIds()
