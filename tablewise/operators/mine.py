@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -24,6 +25,8 @@ from tablewise.plans.shape import long_form, rows_from_aggregate, spread, steady
 TREES, TREE_ROWS = 300, 256
 SEED = 42
 STD_FLOOR = 1e-9
+# Rows that walk through the trees at once.
+WALK_ROWS = 16_384
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -67,6 +70,39 @@ def _grow(pool: np.ndarray, rng: np.random.Generator, rows: int) -> tuple[list,
     return feature, cut, left, value
 
 
+def _in_levels(f: np.ndarray, t: np.ndarray, left: np.ndarray, v: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tree for walks of equal length: depth, features, cuts, left children and values. Leaves lead to themselves,
+    as nothing lies above their cut."""
+    depth, level = 0, np.zeros(1, dtype="int64")
+    while len(level := level[f[level] >= 0]):
+        depth, level = depth + 1, np.concatenate([left[level], left[level] + 1])
+    leaf = f < 0
+    return depth, np.where(leaf, 0, f).astype("int64"), np.where(leaf, np.inf, t), np.where(leaf, np.arange(len(f)), left).astype("int64"), v
+
+
+def _depths(x: np.ndarray, trees: Sequence[tuple]) -> np.ndarray:
+    """Sum of the leaf values that each row reaches; so many rows at a time go through all trees."""
+    out = np.zeros(len(x))
+    for begin in range(0, len(x), WALK_ROWS):
+        part = np.ascontiguousarray(x[begin : begin + WALK_ROWS])
+        n, k = part.shape
+        flat, first = part.reshape(-1), np.arange(n) * k
+        node, at, go = np.empty(n, "int64"), np.empty(n, "int64"), np.empty(n, bool)
+        value, cut, total = np.empty(n), np.empty(n), out[begin : begin + n]
+        for depth, f, t, left, v in trees:
+            node.fill(0)
+            for _ in range(depth):
+                np.take(f, node, out=at, mode="clip")
+                at += first
+                np.take(flat, at, out=value, mode="clip")
+                np.take(t, node, out=cut, mode="clip")
+                np.greater(value, cut, out=go)
+                np.take(left, node, out=at, mode="clip")
+                np.add(at, go, out=node)
+            total += np.take(v, node, out=value, mode="clip")
+    return out
+
+
 def isolation_scores(
     df: DataFrame, numeric_cols: Sequence[str], key: Sequence[str], trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = SEED
 ) -> DataFrame:
@@ -100,30 +136,17 @@ def isolation_scores(
         .mapInPandas(grow, "id long, f array<int>, t array<double>, l array<int>, v array<double>")
         .collect()  # trees * (2 * tree_rows - 1) nodes at most
     )
-    nodes = [tuple(np.array(r[c]) for c in "ftlv") for r in sorted(forest, key=lambda r: r["id"])]
+    nodes = [_in_levels(*(np.array(r[c]) for c in "ftlv")) for r in sorted(forest, key=lambda r: r["id"])]
     norm = float(_path_length(np.array([min(tree_rows, len(pool))]))[0]) or 1.0
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b[xs].to_numpy(dtype="float64")
-            at = np.arange(len(x))
-            depth = np.zeros(len(x))
-            for f, t, left, v in nodes:
-                where = np.zeros(len(x), dtype="int64")
-                while True:
-                    g = f[where]
-                    inner = g >= 0
-                    if not inner.any():
-                        break
-                    go = left[where] + (x[at, np.maximum(g, 0)] > t[where])
-                    where = np.where(inner, go, where)
-                depth += v[where]
-            out = b[list(key)].copy()
-            out["raw_score"] = -np.power(2.0, -depth / len(nodes) / norm)
-            yield out
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in xs], 1)
+            raw = -np.power(2.0, -_depths(x, nodes) / len(nodes) / norm)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(key)], pa.array(raw)], [*key, "raw_score"])
 
     schema = T.StructType([rows.schema[c] for c in key] + [T.StructField("raw_score", T.DoubleType())])
-    return spread(rows).mapInPandas(score, schema)
+    return spread(rows).mapInArrow(score, schema)
 
 
 def anomaly_scores(

@@ -111,3 +111,22 @@ def test_small_forest_fits_remember_places(spark):
     for task in ("regression", "classification"):
         assert train.estimator(task, "random_forest", 1000, params={"trees": 300, "depth": 30, "leaf": 1}).getCacheNodeIds()
         assert not train.estimator(task, "random_forest", train.CACHED_PLACES).getCacheNodeIds()
+
+
+def test_forest_walk_in_levels():
+    import numpy as np
+
+    from tablewise.operators.mine import _depths, _grow, _in_levels
+
+    rng = np.random.default_rng(3)
+    pool = np.stack([rng.integers(0, 5, 700), rng.normal(size=700)], 1).astype(float)
+    x = np.concatenate([pool, [[np.inf, -np.inf], [-np.inf, np.inf], [2.0, 0.0]]])
+    raw = [tuple(map(np.array, _grow(pool, np.random.default_rng(i), rows))) for i, rows in enumerate((1, 2, 50, 256))]
+    want = np.zeros(len(x))
+    for f, t, left, v in raw:
+        for i, row in enumerate(x):
+            node = 0
+            while f[node] >= 0:
+                node = left[node] + int(row[f[node]] > t[node])
+            want[i] += v[node]
+    assert np.array_equal(_depths(x, [_in_levels(*r) for r in raw]), want)
