@@ -130,3 +130,20 @@ def test_forest_walk_in_levels():
                 node = left[node] + int(row[f[node]] > t[node])
             want[i] += v[node]
     assert np.array_equal(_depths(x, [_in_levels(*r) for r in raw]), want)
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from tablewise.sources.tables import LISTING_TASKS, read_corpus
+
+    few = 4 * spark.sparkContext.defaultParallelism
+    for i in range(2 * few):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.txt").write_text(f"text {i}")
+    before, tracker = spark.conf.get(LISTING_TASKS), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    files = read_corpus(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert max(tracker.getStageInfo(s).numTasks for s in stages) <= few
+    assert spark.conf.get(LISTING_TASKS) == before
+    assert {r.text for r in files.collect()} == {f"text {i}" for i in range(2 * few)}
