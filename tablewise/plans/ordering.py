@@ -22,16 +22,18 @@ def _col(c: str | Column) -> Column:
     return ref(c) if isinstance(c, str) else c
 
 
-def _sliced(df: DataFrame, order: Sequence[str | Column], by: Sequence[str]) -> DataFrame:
+def sliced(df: DataFrame, order: Sequence[str | Column], by: Sequence[str], slices: int | None = None) -> DataFrame:
+    """The rows with the number of their slice, pinned; as many slices as asked for, else as Spark makes."""
     keys = [ref(b) for b in by] + [_col(o) for o in order]
-    return steady(df.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id()))
+    ordered = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    return steady(ordered.withColumn(SLICE, F.spark_partition_id()))
 
 
-def _with_offsets(sliced: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+def _with_offsets(parts: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
     # Without groups there is one offset row per slice, so the broadcast is bounded by the
     # partition count; with groups the join strategy is left to the optimizer.
     right = offsets if by else F.broadcast(offsets)
-    return null_safe_join(sliced, right, [*by, SLICE], "left")
+    return null_safe_join(parts, right, [*by, SLICE], "left")
 
 
 def running_sums(
@@ -41,8 +43,8 @@ def running_sums(
 
     ``order`` must identify a row within its group (pre-aggregate on it or append a key).
     """
-    sliced = _sliced(df, order, by)
-    per_slice = sliced.groupBy(*[ref(b) for b in by], SLICE).agg(*[F.sum(ref(c)).alias(f"_t_{c}") for c in sums])
+    parts = sliced(df, order, by)
+    per_slice = parts.groupBy(*[ref(b) for b in by], SLICE).agg(*[F.sum(ref(c)).alias(f"_t_{c}") for c in sums])
     earlier = Window.partitionBy(*[ref(b) for b in by]).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         *[ref(b) for b in by], SLICE, *[F.sum(ref(f"_t_{c}")).over(earlier).alias(f"_o_{c}") for c in sums]
@@ -52,7 +54,7 @@ def running_sums(
         .orderBy(*[_col(o) for o in order])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    out = _with_offsets(sliced, offsets, by)
+    out = _with_offsets(parts, offsets, by)
     zero = {c: F.lit(0).cast(df.schema[c].dataType) for c in sums}
     return out.select(
         *[ref(c) for c in df.columns],
@@ -67,14 +69,14 @@ def row_index(
     df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "row_idx"
 ) -> DataFrame:
     """Zero-based position of each row in the global order (per group)."""
-    sliced = _sliced(df, order, by)
-    per_slice = sliced.groupBy(*[ref(b) for b in by], SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    parts = sliced(df, order, by)
+    per_slice = parts.groupBy(*[ref(b) for b in by], SLICE).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*[ref(b) for b in by]).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         *[ref(b) for b in by], SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o")
     )
     local = Window.partitionBy(*[ref(b) for b in by], SLICE).orderBy(*[_col(o) for o in order])
-    out = _with_offsets(sliced, offsets, by)
+    out = _with_offsets(parts, offsets, by)
     return out.select(
         *[ref(c) for c in df.columns], (F.col("_o") + F.row_number().over(local) - 1).cast("long").alias(name)
     )

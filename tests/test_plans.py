@@ -2,9 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tablewise.plans import quantiles, shape
 from tablewise.plans.nearest import copied_rows, nearest
 from tablewise.plans.ordering import row_index, running_sums, value_ranks
 from tablewise.plans.quantiles import exact_quantiles
@@ -147,3 +150,44 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert max(tracker.getStageInfo(s).numTasks for s in stages) <= few
     assert spark.conf.get(LISTING_TASKS) == before
     assert {r.text for r in files.collect()} == {f"text {i}" for i in range(2 * few)}
+
+
+def test_quantiles_of_a_scan_sort_few_slices(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=20_000).round(2), np.full(5_000, 0.5)])
+    rng.shuffle(x)
+    y = np.where(rng.random(len(x)) < 0.1, np.nan, rng.normal(size=len(x)))
+    table = pa.table({"x": x, "y": pa.array(y, mask=np.isnan(y)), "none": pa.nulls(len(x), pa.float64())})
+    pq.write_table(table, tmp_path / "t.parquet", row_group_size=500)
+    df = spark.read.parquet(str(tmp_path / "t.parquet"))
+    monkeypatch.setattr(quantiles, "INLINE_VALUES", 0)
+    monkeypatch.setattr(quantiles, "SLICE_VALUES", 1_000)
+    monkeypatch.setattr(shape, "SPLIT_VALUES", 5_000)
+    sorted_rows = []
+    picked = quantiles.null_safe_join
+
+    def joined(left, right, keys, *how):
+        out = picked(left, right, keys, *how)
+        sorted_rows.append((out.count(), left.count()))
+        return out
+
+    monkeypatch.setattr(quantiles, "null_safe_join", joined)
+    probs = [0.0, 0.01, 0.5, 0.95, 1.0]
+    got = {r["column"]: r["quantiles"] for r in exact_quantiles(df, ["x", "y", "none"], probs).collect()}
+    assert set(got) == {"x", "y"}
+    np.testing.assert_allclose(got["x"], np.quantile(x, probs))
+    np.testing.assert_allclose(got["y"], np.quantile(y[~np.isnan(y)], probs))
+    assert sorted_rows[0][0] * 2 < sorted_rows[0][1]
+
+
+def test_short_splits_cut_scans_and_end(spark, tmp_path, monkeypatch):
+    pq.write_table(pa.table({"x": np.random.default_rng(1).normal(size=40_000)}), tmp_path / "t.parquet", row_group_size=1_000)
+    monkeypatch.setattr(shape, "SPLIT_VALUES", 2_000)
+    read, key = lambda: spark.read.parquet(str(tmp_path / "t.parquet")), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    with shape.short_splits(read(), 40_000):
+        assert read().rdd.getNumPartitions() >= 15
+        assert max(read().rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) <= 4_000
+    assert spark.conf.get(key) == before
+    with shape.short_splits(read(), 2_000):
+        assert spark.conf.get(key) == before
