@@ -6,6 +6,9 @@ small travels with the tasks over one scan of the corpus. For a larger one both
 nearest of some pivots drawn from the corpus. How far the queries of a cell can be from their k-th neighbour
 follows from distances to pivots alone; by the triangle inequality corpus rows beyond that are not
 copied to the cell. What is copied meets the cell's queries in groups of bounded size.
+
+Before that, equal vectors are put together: equal queries are asked once, and of equal items no more than the k with
+the smallest ids can be among the best k. Feature vectors of few columns repeat often.
 """
 
 from __future__ import annotations
@@ -15,17 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablewise.functions.columns import ref
+from tablewise.plans.jobs import list_matrix
 from tablewise.plans.shape import stored
 
 BROADCAST_QUERIES_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 20_000
-#: Bytes of one matrix product.
-PRODUCT_BYTES = 64 * 1024 * 1024
+#: Bytes of one matrix product; a task holds about three times that beside the rows of a group.
+PRODUCT_BYTES = 16 * 1024 * 1024
 #: Most pivots, and most distances to pivots that are looked at on the driver.
 PIVOTS, NEAR_DISTANCES = 256, 1 << 18
 #: Squared distances this close count as equal, since scores are rounded before they are compared.
@@ -51,11 +57,15 @@ def _match(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
 
 
 def _product(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, metric: str, skip_self: bool) -> pd.DataFrame:
-    if metric == "dot":
-        scores = q @ c.T
-    else:
-        scores = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * (q @ c.T), 0.0))
-    scores = np.round(scores, SCORE_DIGITS)
+    scores = q @ c.T
+    if metric != "dot":  # in place: a product is the largest thing that a task holds
+        scores *= -2
+        scores += (q * q).sum(1)[:, None]
+        scores += (c * c).sum(1)[None, :]
+        np.maximum(scores, 0.0, out=scores)
+        np.sqrt(scores, out=scores)
+        np.negative(scores, out=scores)
+    np.round(scores, SCORE_DIGITS, out=scores)
     if skip_self:
         scores[qid[:, None] == cid[None, :]] = -np.inf
     out_q, out_c, out_s = [], [], []
@@ -72,6 +82,13 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
 
+def _arrow_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    if len(set(lists.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors must be of one length")
+    return list_matrix(lists)
+
+
 def nearest(
     corpus: DataFrame,
     queries: DataFrame,
@@ -99,30 +116,70 @@ def nearest(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
-    if size["n"] * size["d"] * 8 <= max_query_bytes:
-        rows = q.collect()  # at most max_query_bytes
-        if not rows:
-            return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-        ids = np.array([r["query_id"] for r in rows])
-        vectors = np.array([r["v"] for r in rows], dtype="float64")
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    yield _match(ids, vectors, b["item_id"].to_numpy(), _matrix(b["v"]), k, metric, skip_self)
-
-        found = c.mapInPandas(scan, schema)
+    if _query_bytes(q) <= max_query_bytes:
+        return top_per_query(_scan(c, q, k, metric, skip_self, schema), k)
+    if skip_self:  # ids decide which pairs count, also where they repeat
+        return top_per_query(_in_groups(c, q, k, metric, True, block_rows, schema), k)
+    few, asked = _few_of_equal(c, k), _asked_once(q)
+    reps = asked.select(F.col("_rep").alias("query_id"), "v")
+    schema = T.StructType([T.StructField("query_id", T.LongType()), *schema.fields[1:]])
+    if _query_bytes(reps) <= max_query_bytes:
+        found = _scan(few, reps, k, metric, False, schema)
     else:
-        left, right, by = _voronoi_groups(c, q, k + skip_self, metric, block_rows)
+        found = _in_groups(few, reps, k, metric, False, block_rows, schema)
+    best = top_per_query(found, k).select(F.col("query_id").alias("_rep"), "item_id", "score")
+    own = q.join(asked, "v").select("query_id", "_rep")
+    return top_per_query(own.join(best, "_rep").select("query_id", "item_id", "score"), k)
+
+
+def _query_bytes(q: DataFrame) -> int:
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
+    return size["n"] * size["d"] * 8
+
+
+def _few_of_equal(c: DataFrame, k: int) -> DataFrame:
+    """Of the items with one vector the k with the smallest ids; Spark cuts them before the shuffle."""
+    order = Window.partitionBy("v").orderBy(F.col("item_id").asc_nulls_last())
+    return c.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
-        def couple(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            return _match(b["query_id"].to_numpy(), _matrix(b["v"]), a["item_id"].to_numpy(), _matrix(a["v"]), k, metric, skip_self)
 
-        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(couple, schema)
-    return top_per_query(found, k)
+def _asked_once(q: DataFrame) -> DataFrame:
+    """``v, _rep``: every different vector with a number, stored so that the numbers stay."""
+    return stored(q.groupBy("v").agg(F.count(F.lit(1)).alias("_n")).select("v", F.monotonically_increasing_id().alias("_rep")))
+
+
+def _scan(c: DataFrame, q: DataFrame, k: int, metric: str, skip_self: bool, schema: T.StructType) -> DataFrame:
+    """The best of every batch of items for all queries, which travel with the tasks."""
+    rows = q.collect()  # at most max_query_bytes
+    if not rows:
+        return c.sparkSession.createDataFrame([], schema)
+    ids = np.array([r["query_id"] for r in rows])
+    vectors = np.array([r["v"] for r in rows], dtype="float64")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield _match(ids, vectors, b["item_id"].to_numpy(), _matrix(b["v"]), k, metric, skip_self)
+
+    return c.mapInPandas(scan, schema)
+
+
+def _in_groups(
+    c: DataFrame, q: DataFrame, k: int, metric: str, skip_self: bool, block_rows: int, schema: T.StructType
+) -> DataFrame:
+    """The best of every group of items and queries that may hold neighbours of each other."""
+    left, right, by = _voronoi_groups(c, q, k + skip_self, metric, block_rows)
+    names = [f.name for f in schema.fields]
+
+    def couple(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return wanted.empty_table()
+        qid, cid = b["query_id"].to_pandas().to_numpy(), a["item_id"].to_pandas().to_numpy()
+        found = _match(qid, _arrow_matrix(b["v"]), cid, _arrow_matrix(a["v"]), k, metric, skip_self)
+        return pa.Table.from_pandas(found[names], schema=wanted, preserve_index=False)
+
+    wanted = to_arrow_schema(schema)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(couple, schema)
 
 
 class _Space:

@@ -1,5 +1,7 @@
 """Shared plans against NumPy and pandas, with hot groups and several partitionings."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -7,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tablewise.plans import nearest as searches
 from tablewise.plans import quantiles, shape
 from tablewise.plans.nearest import copied_rows, nearest
 from tablewise.plans.ordering import row_index, running_sums, value_ranks
@@ -191,3 +194,51 @@ def test_short_splits_cut_scans_and_end(spark, tmp_path, monkeypatch):
     assert spark.conf.get(key) == before
     with shape.short_splits(read(), 2_000):
         assert spark.conf.get(key) == before
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_equal_vectors_are_asked_and_kept_once(spark, monkeypatch, small):
+    """Few different vectors on both sides, ids that repeat or are missing, a query side too large to travel as it is."""
+    rng = np.random.default_rng(11)
+    grid = rng.integers(0, 3, (9, 3)).astype(float)
+    items = [(int(i % 290), grid[j].tolist()) for i, j in enumerate(rng.integers(0, 9, 300))]
+    queries = [(None if i == 7 else int(i), grid[j].tolist()) for i, j in enumerate(rng.integers(0, 9, 60))]
+    searched = []
+
+    def seen(name):
+        real = getattr(searches, name)
+
+        def run(c, q, *rest):
+            searched.append((name, c.count(), q.count()))
+            return real(c, q, *rest)
+
+        monkeypatch.setattr(searches, name, run)
+
+    seen("_scan")
+    seen("_in_groups")
+    sizes = iter([1 << 30, 1 << 30 if not small else 0])
+    monkeypatch.setattr(searches, "_query_bytes", lambda q: next(sizes))
+    c = spark.createDataFrame(items, "item_id long, v array<double>")
+    q = spark.createDataFrame(queries, "query_id long, v array<double>")
+    got = nearest(c, q, 4, "item_id", "v", "query_id", "v", metric="euclidean", max_query_bytes=small).collect()
+    different = len({tuple(v) for _, v in queries})
+    assert searched == [("_scan" if small else "_in_groups", searched[0][1], different)]
+    assert searched[0][1] <= 4 * len({tuple(v) for _, v in items})
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], r["score"]))
+    assert len(by) == 60
+    for i, v in queries:
+        far = sorted((round(float(np.linalg.norm(np.array(v) - np.array(w))), 6), j) for j, w in items)[:4]
+        assert [(j, -d) for d, j in far] == [(j, s) for _, j, s in sorted(by[i])]
+
+
+@pytest.mark.parametrize("metric", ["dot", "euclidean"])
+def test_a_product_is_held_once(metric):
+    rng = np.random.default_rng(2)
+    q, c = rng.normal(size=(500, 8)), rng.normal(size=(4000, 8))
+    tracemalloc.start()
+    searches._product(np.arange(500), q, np.arange(4000), c, 3, metric, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 8 * 500 * 4000
