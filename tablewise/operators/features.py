@@ -24,7 +24,7 @@ from tablewise.functions.columns import (
 from tablewise.operators.trend import as_timestamp
 from tablewise.plans.ordering import row_index
 from tablewise.plans.quantiles import exact_quantiles
-from tablewise.plans.shape import long_form, null_safe_join, rows_from_aggregate
+from tablewise.plans.shape import discard, long_form, null_safe_join, rows_from_aggregate, stored
 
 # Fixed limits and thresholds.
 MIN_STD = 1e-8
@@ -449,14 +449,15 @@ def text_vectors(df: DataFrame, col: str, dims: int = 64, features: int = 1 << 1
     Returns a ``PipelineModel``; the sparse random-free projection is the leading principal
     components of the hashed terms, computed by Spark on reduced term groups.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.feature import IDF, PCA, HashingTF, RegexTokenizer
 
     dims, out = min(dims, features), name or f"{col}__vector"
-    stages = [
-        RegexTokenizer(inputCol=col, outputCol=f"{out}_tokens", pattern="[a-z0-9]+", gaps=False, toLowercase=True),
-        HashingTF(inputCol=f"{out}_tokens", outputCol=f"{out}_tf", numFeatures=features),
-        IDF(inputCol=f"{out}_tf", outputCol=f"{out}_tfidf"),
-        PCA(inputCol=f"{out}_tfidf", outputCol=out, k=dims),
-    ]
-    return Pipeline(stages=stages).fit(df.where(ref(col).isNotNull()))
+    words = RegexTokenizer(inputCol=col, outputCol=f"{out}_tokens", pattern="[a-z0-9]+", gaps=False, toLowercase=True)
+    hashed = HashingTF(inputCol=words.getOutputCol(), outputCol=f"{out}_tf", numFeatures=features)
+    # texts are split once; the fits below go over the term counts several times
+    counts = stored(hashed.transform(words.transform(df.where(ref(col).isNotNull()))).select(f"{out}_tf"))
+    weights = IDF(inputCol=f"{out}_tf", outputCol=f"{out}_tfidf").fit(counts)
+    projection = PCA(inputCol=f"{out}_tfidf", outputCol=out, k=dims).fit(weights.transform(counts))
+    discard(counts)
+    return PipelineModel(stages=[words, hashed, weights, projection])

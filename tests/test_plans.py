@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tablewise.operators.features import text_vectors
 from tablewise.plans import nearest as searches
 from tablewise.plans import quantiles, shape
 from tablewise.plans.nearest import copied_rows, nearest
@@ -242,3 +243,18 @@ def test_a_product_is_held_once(metric):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1.5 * 8 * 500 * 4000
+
+
+def test_text_vectors_read_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        read.add(1)
+        return None if i == 5 else f"word{i % 7} other{i % 3} word{i % 4}"
+
+    df = spark.range(60).select(text("id").alias("text"))
+    fitted = text_vectors(df, "text", dims=4, features=64)
+    assert read.value <= 2 * 60  # once in the filter for missing texts, once for the words
+    assert len(fitted.stages) == 4
+    assert len(fitted.transform(df.where("text IS NOT NULL")).first()["text__vector"]) == 4
