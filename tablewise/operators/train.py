@@ -29,6 +29,7 @@ from tablewise.functions.columns import as_double, as_text, half_up, kinds, ref,
 from tablewise.operators import drift, evaluate, features, scoring
 from tablewise.operators.neighbours import Neighbours
 from tablewise.plans.ensembles import FittedArrays, arrays_of
+from tablewise.plans.forests import regression_forest
 from tablewise.plans.jobs import list_matrix, side_by_side
 from tablewise.plans.nearest import nearest
 from tablewise.plans.ordering import row_index
@@ -40,8 +41,8 @@ INTERACTION_MIN_COLS, INTERACTION_MIN_ROWS = 3, 200
 AUTO_MIN_ROWS, TUNE_MIN_ROWS, CALIBRATE_MIN_ROWS = 30, 50, 100
 TUNE_DRAWS, TUNE_FOLDS, CALIBRATE_FOLDS, AUTO_FOLDS = 10, 3, 3, 3
 SMOTE_MIN_MINORITY, SMOTE_NEIGHBOURS = 6, 5
-# Rows of a partition that candidates are fitted on, at least.
-FIT_ROWS = 20_000
+# Rows of a partition that candidates are fitted on, at least, and partitions for each core, at most.
+FIT_ROWS, FIT_TASKS = 20_000, 3
 # Places in trees (rows times trees) that a fit remembers; beyond it, rows walk from the root at every level.
 CACHED_PLACES = 1 << 27
 # Imbalance that a model family bears: those that take no class weights bear less.
@@ -546,8 +547,10 @@ def prepared_folds(
         train, held = split
         p = prepare(train, target, roles, task, labels, key)
         narrow = p.ready.select("_label", "_features", *(["_weight"] if task == "classification" else []))
-        # every partition sends the statistics of every node that grows, so small tables keep to few
-        p.ready = stored(narrow.coalesce(math.ceil(max(p.n, 1) / FIT_ROWS)))
+        # every partition sends the statistics of every node that grows, so small tables keep to few;
+        # large ones use all cores, however few files they come from
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        p.ready = stored(narrow.coalesce(1) if p.n <= FIT_ROWS else narrow.repartition(min(math.ceil(p.n / FIT_ROWS), FIT_TASKS * cores)))
         for s in p.stages:
             held = s.transform(held)
         return Fold(p, stored(held.select(ref(target), "_features")))
@@ -560,7 +563,18 @@ def close_folds(folds: Sequence[Fold]) -> None:
         discard(f.train.ready, f.held)
 
 
+def _summed_forest(fold: Fold, task: str, model_type: str, params: dict | None) -> FittedArrays | None:
+    """A regression forest over more rows than one partition's, grown from sums; None for other models and for inputs too varied."""
+    if task != "regression" or resolve_model_type(model_type) != "random_forest" or fold.train.n <= FIT_ROWS:
+        return None
+    p = params or {}
+    return regression_forest(fold.train.ready, fold.train.n, p.get("trees", 200), p.get("depth", 12), p.get("leaf", 1), SEED)
+
+
 def _fold_score(fold: Fold, task: str, model_type: str, target: str, labels: Sequence[str], log_target: bool, params: dict | None) -> float:
+    forest = _summed_forest(fold, task, model_type, params)
+    if forest is not None:
+        return _array_scores(forest, fold, task, model_type, target, labels, log_target, [params or {}])[0]
     model = fit_prepared(fold.train, task, model_type, labels, params)
     return _score(PipelineModel(stages=[model]), fold.held, task, target, labels, log_target)
 
@@ -632,8 +646,16 @@ def _grown_together(model_type: str, settings: Sequence[dict]) -> list[tuple[dic
 
 def _setting_scores(fold: Fold, task: str, model_type: str, target: str, labels, log_target: bool, whole: dict, settings: list[dict]) -> list[float]:
     """Score of every setting on one fold, from one fit of ``whole``."""
-    model = fit_prepared(fold.train, task, model_type, labels, whole)
-    arrays = arrays_of(model)
+    arrays = _summed_forest(fold, task, model_type, whole)
+    if arrays is None:
+        arrays = arrays_of(fit_prepared(fold.train, task, model_type, labels, whole))
+    return _array_scores(arrays, fold, task, model_type, target, labels, log_target, settings)
+
+
+def _array_scores(
+    arrays: FittedArrays, fold: Fold, task: str, model_type: str, target: str, labels, log_target: bool, settings: list[dict]
+) -> list[float]:
+    """Score on the held-out rows of every setting that the trees answer."""
     forest = resolve_model_type(model_type) == "random_forest"
     shared = fold.held.sparkSession.sparkContext.broadcast(arrays)  # a fitted model
     size = len(arrays.first) // (1 if arrays.link != "one_by_one" else arrays.outputs)  # trees of a class
@@ -644,7 +666,7 @@ def _setting_scores(fold: Fold, task: str, model_type: str, target: str, labels,
             n = min(s.get("trees", size), size)
             trees = np.concatenate([np.arange(n) + k * size for k in range(len(a.first) // size)])
             if forest:
-                raw = a.value[a.reached(x, trees, s["depth"])].sum(1) * (size / n if a.link == "value" else 1)
+                raw = a.value[a.reached(x, trees, s.get("depth"))].sum(1) * (size / n if a.link == "value" else 1)
             else:
                 raw = a.raw(x, trees)
             out.append(raw[:, 0] if a.link == "value" else a.probabilities(raw).argmax(1).astype(float))

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tablewise.operators import train
+from tablewise.plans import forests
 from tablewise.plans.ensembles import arrays_of
 
 
@@ -92,3 +93,46 @@ def test_all_families_race_over_three_classes_and_text(rows):
     assert best in train.AUTO["classification"]
     model = train.train_supervised_model(rows.drop("y", "two"), "three", ["id"], model_type="gradient_boosting")
     assert model.evaluation["accuracy"] > 0.8
+
+
+def test_large_folds_use_all_cores_and_their_forests_read_rows_once(spark, monkeypatch):
+    i = F.col("id")
+    wide = spark.range(6_000, numPartitions=1).select(
+        "id", (i % 40).alias("a"), F.concat(F.lit("c"), (i * 7 % 5)).alias("c"), (100 + 3 * (i % 40) + 50 * (i * 7 % 5 == 2).cast("int") + i % 11).cast("double").alias("y")
+    )
+    roles = {"a": "numeric", "c": "one_hot"}
+    monkeypatch.setattr(train, "FIT_ROWS", 500)
+    folds = train.prepared_folds(wide, "y", roles, "regression", ["id"], 2)
+    monkeypatch.setattr(train, "estimator", lambda *a, **k: 1 / 0)  # no pass over the rows for each level
+    assert all(len(f.train.ready.inputFiles()) > 1 and f.train.ready.count() == f.train.n for f in folds)
+    settings = [{"trees": 5, "depth": 2, "leaf": 1}, {"trees": 12, "depth": 8, "leaf": 1}]
+    both = train._setting_scores(folds[0], "regression", "random_forest", "y", [], False, settings[1], settings)
+    alone = [train._fold_score(folds[0], "regression", "random_forest", "y", [], False, s) for s in settings]
+    assert np.allclose(both, alone, atol=1e-9)
+    monkeypatch.undo()
+    # as good as Spark's own forest, which draws other rows and inputs
+    spark_own = train._fold_score(folds[0], "regression", "random_forest", "y", [], False, settings[1])
+    assert abs(spark_own - alone[1]) < 0.03 and alone[0] < alone[1]
+    train.close_folds(folds)
+
+
+def test_forest_of_sums_splits_bagged_rows_as_a_plain_search_would(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    cells = rng.integers(0, 4, (30, 3))
+    copies = rng.poisson(1.0, 30).astype(float)
+    y = rng.normal(size=30)
+    nodes = forests.grow(cells, np.stack([copies, copies * y, copies * y * y]), 1, 2, np.random.default_rng(0))
+    feature, bin_, left, right, mean = nodes[0]
+    tried = np.random.default_rng(0).choice(3, 1, replace=False)[0]
+    x, t = np.repeat(cells[:, tried], copies.astype(int)), np.repeat(y, copies.astype(int))
+    cost = {b: sum(((p - p.mean()) ** 2).sum() for p in (t[x <= b], t[x > b])) for b in range(4) if min((x <= b).sum(), (x > b).sum()) >= 2}
+    assert (feature, bin_, left, right) == (tried, min(cost, key=lambda b: cost[b]), 1, 2) and abs(mean - t.mean()) < 1e-12
+    assert abs(nodes[1][4] - t[x <= bin_].mean()) < 1e-12 and abs(nodes[2][4] - t[x > bin_].mean()) < 1e-12
+    # inputs too varied for sums are left to Spark's forest
+    monkeypatch.setattr(forests, "CELLS", 10)
+    rows = spark.range(200).select(F.col("id").cast("double").alias("_label"), array_to_vector(F.array(F.col("id").cast("double"))).alias("_features"))
+    assert forests.regression_forest(rows, 200, 3, 4, 1, 42) is None
+    monkeypatch.setattr(forests, "CELLS", 200)
+    same = rows.select(F.lit(5.0).alias("_label"), "_features")
+    found = forests.regression_forest(same, 200, 3, 4, 1, 42)
+    assert len(found.first) == 3 and len(found.left) == 3 and np.allclose(found.raw(np.zeros((2, 1))), 5.0)
