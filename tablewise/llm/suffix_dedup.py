@@ -11,9 +11,10 @@ two without loss:
    than one document.
 2. *Suffixes.* Windows with such anchors travel as runs that share their text, dealt by anchor. A run
    whose text several documents of a part have is sent once, by the one with the smallest key; the
-   others are repeats already. An anchor that very many documents share is dealt window by window
-   instead, so that it spreads out. Each bucket sorts the suffixes it has to a depth of ``length``
-   bytes, deep-shallow: multikey quicksort on eight bytes at a time to a shallow depth, then a blind
+   others are repeats already. An anchor that many parts have in ever different runs, such as a line
+   that stands in many texts, would fill one bucket. Its windows get anchors of longer grams instead, at
+   last of whole windows, and those of anchors that no other document has are left out as in step 1,
+   before any text travels. Each bucket sorts the suffixes it has to a depth of ``length`` bytes, deep-shallow: multikey quicksort on eight bytes at a time to a shallow depth, then a blind
    trie for every group that is still together. Suffixes in one leaf are equal; all but those of the
    smallest document are repeats.
 """
@@ -35,8 +36,10 @@ SLICE = 1 << 20
 BUCKETS_PER_PART = 2
 #: Planned bytes of a part, which is held whole in a task.
 PART_BYTES = 6 << 20
-#: Parts in which an anchor occurs beyond which its windows are dealt one by one.
+#: Parts in which an anchor occurs, and different runs that each of them has of it on average, beyond which its windows
+#: get anchors of longer grams.
 HOT_PARTS = 256
+HOT_RUNS = 2
 NO_KEY = np.int64(2**63 - 1)
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -77,27 +80,43 @@ def words_at(raw: np.ndarray) -> np.ndarray:
     return np.ndarray(n, np.dtype(">u8"), raw.data if raw.flags.c_contiguous else raw.tobytes(), strides=(1,))
 
 
-def anchor_runs(raw: np.ndarray, at: np.ndarray, length: int):
-    """(anchor place, first start, end start, document) of every run of windows with one anchor."""
-    none = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return none, none, none, none
-    span = length - GRAM + 1
-    key = gram_hashes(raw, GRAM).astype(np.uint64) << np.uint64(32)
+def gram_widths(length: int) -> list[int]:
+    """Bytes of the anchors of each level; the windows of hot anchors go on to the next one."""
+    return [GRAM, (GRAM + length) // 2, length]
+
+
+def anchor_places(raw: np.ndarray, length: int, width: int) -> np.ndarray:
+    """Where the anchor of the window from each place on is."""
+    span = length - width + 1
+    if span == 1:
+        return np.arange(len(raw) - length + 1)
+    key = gram_hashes(raw, width).astype(np.uint64) << np.uint64(32)
     key |= np.arange(len(key), dtype=np.uint64)
     p = 1
     while 2 * p <= span:
         key, p = np.minimum(key[:-p], key[p:]), 2 * p
     if span > p:
         key = np.minimum(key[: len(key) - (span - p)], key[span - p :])
-    anchor = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def anchor_runs(raw: np.ndarray, at: np.ndarray, length: int):
+    """(anchor place, first start, end start, document) of every run of windows with one anchor."""
+    none = np.zeros(0, np.int64)
+    if len(raw) < length:
+        return none, none, none, none
+    anchor = anchor_places(raw, length, GRAM)
     fits = np.zeros(len(anchor) + 1, np.int8)  # windows that lie in one document
     long = np.diff(at) >= length
     np.add.at(fits, at[:-1][long], 1)
     np.add.at(fits, at[1:][long] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(fits[:-1]))
+    return _runs_of(start, anchor, at)
+
+
+def _runs_of(start: np.ndarray, anchor: np.ndarray, at: np.ndarray):
     if not len(start):
-        return none, none, none, none
+        return start, start, start, start
     here = anchor[start]
     head = np.flatnonzero(np.concatenate([[True], (here[1:] != here[:-1]) | (start[1:] != start[:-1] + 1)]))
     tail = np.append(head[1:], len(start)) - 1
@@ -105,10 +124,12 @@ def anchor_runs(raw: np.ndarray, at: np.ndarray, length: int):
     return here[head], first, start[tail] + 1, np.searchsorted(at, first, "right") - 1
 
 
-def anchor_names(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+def anchor_names(raw: np.ndarray, places: np.ndarray, width: int = GRAM) -> np.ndarray:
     """A 64-bit hash of the anchor gram at each place."""
     if not len(places):
         return np.zeros(0, np.uint64)
+    if width != GRAM:
+        return _window_hash(raw, places, width)
     words = words_at(raw)
     name = _mix(words[places].astype(np.uint64)) + words[places + 8].astype(np.uint64)
     return _mix(_mix(name) + words[places + GRAM - 8].astype(np.uint64))
@@ -247,48 +268,122 @@ def _padded(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([raw, np.zeros(64, np.uint8)])
 
 
-def _anchors(buckets: int, length: int):
-    """Distinct anchors of a part: one blob for each bucket, with whether two documents here share it."""
-
-    def emit(part: int, held):
-        names, docs = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.argsort(names, kind="stable")
-        names, docs = names[order], docs[order]
-        head = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+class _Known:
+    """The shared anchors of one level that a part has."""
+
+    def __init__(self, shared: pa.Table, level: int, buckets: int):
+        rows = [r for r in shared.to_pylist() if r["level"] == level]
+        none = np.zeros(0, np.uint64)
+        names = [np.frombuffer(r["names"], "<u4").astype(np.uint64) | (np.uint64(r["bucket"]) << np.uint64(32)) for r in rows]
+        hot = [np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=len(r["names"]) // 4) for r in rows]
+        names, hot = np.concatenate([none, *names]), np.concatenate([none, *hot]).astype(bool)
+        by = np.argsort(names)
+        self.names, self.hot, self.buckets = names[by], hot[by], buckets
+
+    def of(self, name: np.ndarray):
+        """Which names are shared, and which of those are hot."""
+        if not len(self.names):
+            return np.zeros(len(name), bool), np.zeros(len(name), bool)
+        code = (name & LOW) | (_bucket_of(name, self.buckets).astype(np.uint64) << np.uint64(32))
+        spot = np.minimum(np.searchsorted(self.names, code), len(self.names) - 1)
+        shared = self.names[spot] == code
+        return shared, shared & self.hot[spot]
+
+
+def _levels(raw: np.ndarray, at: np.ndarray, length: int, known: list[_Known]):
+    """(names, first starts, end starts, documents) of the runs of each level: the first level has all windows, the
+    next one those of the hot anchors of the one before."""
+    place, first, end, doc = anchor_runs(raw, at, length)
+    padded = _padded(raw)
+    name = anchor_names(padded, place)
+    yield name, first, end, doc
+    for width, before in zip(gram_widths(length)[1:], known):
+        hot = before.of(name)[1]
+        start = spread_indices(first[hot], (end - first)[hot])
+        if not len(start):
+            return
+        place, first, end, doc = _runs_of(start, anchor_places(raw, length, width), at)
+        name = anchor_names(padded, place, width)
+        yield name, first, end, doc
+
+
+def _run_texts(raw: np.ndarray, first: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the text of each run, which its first and last windows cover."""
+    last = _window_hash(raw, end - 1, length) + (end - first).astype(np.uint64)
+    return _mix(_window_hash(raw, first, length) + _mix(last))
+
+
+def _distinct(part: int, held, buckets: int) -> pa.RecordBatch:
+    """Distinct anchors of a part: one blob for each bucket, with whether two documents here share it and how many
+    different runs it has (255 at most)."""
+    names, docs, texts = (np.concatenate([h[k] for h in held]) for k in range(3))
+    order = np.lexsort((texts, names))
+    names, docs, texts = names[order], docs[order], texts[order]
+    fresh = np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]
+    other = fresh | np.concatenate([[True], texts[1:] != texts[:-1]])[: len(names)]
+    head = np.flatnonzero(fresh)
+    many = np.zeros(0, bool)
+    runs = np.zeros(0, np.uint8)
+    if len(head):
         many = np.minimum.reduceat(docs, head) != np.maximum.reduceat(docs, head)
-        names = names[head]
-        # names are sorted, and buckets are ranges of them
-        cuts = np.append(np.searchsorted(names, _edges(buckets)), len(names))
-        low = (names & LOW).astype("<u4")
-        rows = [
-            (b, part, low[cuts[b] : cuts[b + 1]].tobytes(), np.packbits(many[cuts[b] : cuts[b + 1]]).tobytes())
-            for b in np.flatnonzero(np.diff(cuts)).tolist()
-        ]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "part", "names", "many"]
-        )
+        runs = np.minimum(np.add.reduceat(other.astype(np.int64), head), 255).astype(np.uint8)
+    names = names[head]
+    # names are sorted, and buckets are ranges of them
+    cuts = np.append(np.searchsorted(names, _edges(buckets)), len(names)).tolist()
+    low = (names & LOW).astype("<u4")
+    rows = [
+        (b, part, low[i:j].tobytes(), np.packbits(many[i:j]).tobytes(), runs[i:j].tobytes())
+        for b, (i, j) in enumerate(zip(cuts, cuts[1:]))
+        if i < j
+    ]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["bucket", "part", "names", "many", "runs"]
+    )
+
+
+def _anchors(buckets: int, length: int, counted: bool):
+    """Distinct anchors of the first level of each part; ``counted``: with the number of their runs."""
 
     def run(batches):
         held, last = [], None
         for rows, raw, at in slices(batches, limit=SLICE):
-            place, _, _, doc = anchor_runs(raw, at, length)
-            names, ids = anchor_names(_padded(raw), place), _ids(rows)
+            place, first, end, doc = anchor_runs(raw, at, length)
+            padded = _padded(raw)
+            names, ids = anchor_names(padded, place), _ids(rows)
+            texts = _run_texts(padded, first, end, length) if counted else np.zeros(len(names), np.uint64)
             parts = rows.column("part").to_numpy(zero_copy_only=False)
             for part in np.unique(parts).tolist():  # the rows are sorted by part
                 if part != last and held:
-                    yield emit(last, held)
+                    yield _distinct(last, held, buckets)
                     held = []
                 last, mine = part, parts[doc] == part
                 if mine.any():
-                    held.append((names[mine], ids[doc[mine]]))
+                    held.append((names[mine], ids[doc[mine]], texts[mine]))
         if held:
-            yield emit(last, held)
+            yield _distinct(last, held, buckets)
+
+    return run
+
+
+def _longer_anchors(buckets: int, length: int, level: int):
+    """Distinct anchors of a later level of a part."""
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        known = [_Known(shared, k, buckets) for k in range(level)]
+        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        if all(k.hot.any() for k in known):
+            for rows, raw, at in slices(iter(docs.to_batches()), limit=SLICE):
+                found = list(_levels(raw, at, length, known))
+                if len(found) > level:
+                    name, first, end, doc = found[level]
+                    held.append((name, _ids(rows)[doc], _run_texts(_padded(raw), first, end, length)))
+        return pa.Table.from_batches([_distinct(docs["part"][0].as_py() if docs.num_rows else 0, held, buckets)])
 
     return run
 
 
-def _shared_anchors(length: int):
+def _shared_anchors(level: int):
     """For one bucket: the anchors that more than one document has, back to every part that has them."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -296,84 +391,68 @@ def _shared_anchors(length: int):
         names = np.concatenate([np.frombuffer(r["names"], "<u4") for r in rows])
         sizes = [len(r["names"]) // 4 for r in rows]
         many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=n) for r, n in zip(rows, sizes)])
+        runs = np.concatenate([np.frombuffer(r["runs"], np.uint8) for r in rows])
         distinct, which, times = np.unique(names, return_inverse=True, return_counts=True)
         shared = times > 1
         shared[which[many > 0]] = True
-        hot = times > HOT_PARTS
+        hot = (times > HOT_PARTS) & (np.bincount(which, runs) > HOT_RUNS * times)
         out, at = [], 0
         for r, n in zip(rows, sizes):
             mine = which[at : at + n]
             keep = shared[mine]
             at += n
             if keep.any():
-                out.append((r["part"], r["bucket"], distinct[mine[keep]].astype("<u4").tobytes(), np.packbits(hot[mine[keep]]).tobytes()))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        columns = zip(*out) if out else [[], [], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "bucket", "names", "hot"])
+                out.append((r["part"], level, r["bucket"], distinct[mine[keep]].astype("<u4").tobytes(), np.packbits(hot[mine[keep]]).tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        columns = zip(*out) if out else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], ["part", "level", "bucket", "names", "hot"])
 
     return run
 
 
-def _runs(buckets: int, length: int):
-    """Runs of windows with shared anchors, as rows (bucket, part, texts, starts, owners, done)."""
+def _runs(buckets: int, length: int, levels: int):
+    """Runs of windows with shared anchors, as rows (bucket, part, texts, starts, owners, done). Those without texts
+    are repeats already."""
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
         kinds = {
             "bucket": pa.int32(), "part": pa.int32(), "texts": pa.binary(), "sizes": pa.binary(),
             "keys": pa.binary(), "docs": pa.binary(), "starts": pa.binary(),
         }
-        found = shared.to_pylist()
-        if not docs.num_rows or not found:
+        if not docs.num_rows or not shared.num_rows:
             return pa.table({c: pa.array([], t) for c, t in kinds.items()})
-        full = np.concatenate([
-            np.frombuffer(r["names"], "<u4").astype(np.uint64) | (np.uint64(r["bucket"]) << np.uint64(32)) for r in found
-        ])
-        hot = np.concatenate([
-            np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=len(r["names"]) // 4) for r in found
-        ]).astype(bool)
-        by = np.argsort(full)
-        full, hot = full[by], hot[by]
+        known = [_Known(shared, k, buckets) for k in range(levels)]
         part = docs["part"][0].as_py()
-        texts, sizes, keys, names, starts, ids, bucket = [], [], [], [], [], [], []
+        texts, sizes, keys, names, starts, bucket = [], [], [], [], [], []
         for rows, raw, at in slices(iter(docs.to_batches()), limit=SLICE):
-            place, first, end, doc = anchor_runs(raw, at, length)
-            name = anchor_names(_padded(raw), place)
-            home = _bucket_of(name, buckets)
-            code = (name & LOW) | (home.astype(np.uint64) << np.uint64(32))
-            spot = np.minimum(np.searchsorted(full, code), len(full) - 1)
-            keep = np.flatnonzero(full[spot] == code)
-            if not len(keep):
-                continue
-            first, end, doc, home, warm = first[keep], end[keep], doc[keep], home[keep], hot[spot[keep]]
-            # windows of hot anchors one by one, dealt by their own text
-            alone = spread_indices(first[warm], (end - first)[warm])
-            owner = np.repeat(doc[warm], (end - first)[warm])
-            first = np.concatenate([first[~warm], alone])
-            end = np.concatenate([end[~warm], alone + 1])
-            doc = np.concatenate([doc[~warm], owner])
-            away = _bucket_of(_window_hash(raw, alone, length), buckets) if len(alone) else np.zeros(0, np.int64)
-            home = np.concatenate([home[~warm], away])
             data = raw.tobytes()
-            size = end - first + length - 1
-            texts += [data[i : i + n] for i, n in zip(first.tolist(), size.tolist())]
-            bucket.append(home)
-            keys.append(_ids(rows)[doc])
-            names.append(rows.column("row").to_numpy(zero_copy_only=False)[doc])
-            starts.append(first - at[doc])
+            for level, (name, first, end, doc) in enumerate(_levels(raw, at, length, known[:-1])):
+                keep, hot = known[level].of(name)
+                if level + 1 < levels:
+                    keep &= ~hot
+                if not keep.any():
+                    continue
+                name, first, end, doc = name[keep], first[keep], end[keep], doc[keep]
+                size = end - first + length - 1
+                texts += [data[i : i + n] for i, n in zip(first.tolist(), size.tolist())]
+                sizes.append(size)
+                bucket.append(_bucket_of(name, buckets))
+                keys.append(_ids(rows)[doc])
+                names.append(rows.column("row").to_numpy(zero_copy_only=False)[doc])
+                starts.append(first - at[doc])
         if not texts:
             return pa.table({c: pa.array([], t) for c, t in kinds.items()})
-        bucket, keys, names, starts = (np.concatenate(x) for x in (bucket, keys, names, starts))
+        size, bucket, keys, names, starts = (np.concatenate(x) for x in (sizes, bucket, keys, names, starts))
         coded = pa.array(texts, pa.large_binary()).dictionary_encode()
         text = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         # the smallest key of each distinct text of the part stands for the others with a larger one
         least = np.full(len(coded.dictionary), NO_KEY)
         np.minimum.at(least, text, keys)
         local = keys > least[text]
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
         out = []
         mine = np.flatnonzero(local)
         if len(mine):  # repeats that need no bucket to tell
-            out.append(_row(-1, part, b"", size[mine] - length + 1, keys[mine], names[mine], starts[mine]))
+            out.append(_row(part % buckets, part, None, size[mine] - length + 1, keys[mine], names[mine], starts[mine]))
         rest = np.flatnonzero(~local)
         rest = rest[np.argsort(bucket[rest], kind="stable")]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[rest][1:] != bucket[rest][:-1]])) if len(rest) else []
@@ -403,7 +482,8 @@ def _edges(buckets: int) -> np.ndarray:
 
 
 def _window_hash(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    words, name = words_at(_padded(raw)), np.zeros(len(starts), np.uint64)
+    """A 64-bit hash of the ``length`` bytes from each start on (raw has 8 bytes to spare)."""
+    words, name = words_at(raw), np.zeros(len(starts), np.uint64)
     for offset in [*range(0, length - 7, 8), length - 8]:
         name = _mix(name + words[starts + offset].astype(np.uint64))
     return name
@@ -414,6 +494,11 @@ def _repeats(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
+        done = [r for r in rows if r["texts"] is None]
+        rows = [r for r in rows if r["texts"] is not None]
+        told = [_packed(r["part"], r["docs"], r["starts"], r["sizes"]) for r in done]
+        if not rows:
+            return pa.concat_tables(told)
         windows = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in rows]).astype(np.int64)
         keys = np.concatenate([np.frombuffer(r["keys"], "<i8") for r in rows])
         names = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in rows])
@@ -451,7 +536,7 @@ def _repeats(length: int):
         begin = np.concatenate([starts[mine] + np.repeat(inside, times), starts[later]])
         count = np.concatenate([np.repeat(count, times), windows[later]])
         mine = np.concatenate([mine, later])
-        return _spans(parts[mine], names[mine], begin, count)
+        return pa.concat_tables([*told, _spans(parts[mine], names[mine], begin, count)])
 
     return run
 
@@ -462,11 +547,15 @@ def _spans(parts, names, begin, windows) -> pa.Table:
     parts, names, begin, windows = parts[by], names[by], begin[by], windows[by]
     cuts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))[: len(parts)]
     out = [
-        (int(parts[i]), names[i:j].astype("<i8").tobytes(), begin[i:j].astype("<u4").tobytes(), windows[i:j].astype("<u4").tobytes())
+        _packed(int(parts[i]), names[i:j].astype("<i8").tobytes(), begin[i:j].astype("<u4").tobytes(), windows[i:j].astype("<u4").tobytes())
         for i, j in zip(cuts, np.append(cuts[1:], len(parts)))
     ]
+    return pa.concat_tables(out) if out else _packed()
+
+
+def _packed(*row) -> pa.Table:
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, kinds)], ["part", "docs", "starts", "windows"])
+    return pa.table([pa.array([v], t) for v, t in zip(row, kinds)] or [pa.array([], t) for t in kinds], ["part", "docs", "starts", "windows"])
 
 
 def _finish(length: int, schema: pa.Schema, emit):
@@ -518,13 +607,24 @@ def _repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, ex
         )
     row = F.xxhash64("doc_id", "text")
     dealt = plain.withColumn("row", row).withColumn("part", F.pmod(row, F.lit(parts)).cast("int")).repartition(parts, "part")
-    anchors = dealt.sortWithinPartitions("part").mapInArrow(_anchors(buckets, length), "bucket int, part int, names binary, many binary")
-    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors(length), "part int, bucket int, names binary, hot binary")
+    # no anchor is in more parts than there are
+    levels = len(gram_widths(length)) if parts > HOT_PARTS else 1
+    blobs = "bucket int, part int, names binary, many binary, runs binary"
+    anchors = dealt.sortWithinPartitions("part").mapInArrow(_anchors(buckets, length, levels > 1), blobs)
+    shared = None
+    for level in range(levels):
+        if level:
+            anchors = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_longer_anchors(buckets, length, level), blobs)
+        found = anchors.groupBy("bucket").applyInArrow(
+            _shared_anchors(level), "part int, level int, bucket int, names binary, hot binary"
+        )
+        shared = shared.union(found) if level else found
     runs = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(
-        _runs(buckets, length),
+        _runs(buckets, length, levels),
         "bucket int, part int, texts binary, sizes binary, keys binary, docs binary, starts binary",
     )
-    return dealt, _all_spans(runs, length)
+    spans = runs.groupBy("bucket").applyInArrow(_repeats(length), "part int, docs binary, starts binary, windows binary")
+    return dealt, spans
 
 
 def remove_repeats(
@@ -564,13 +664,6 @@ def remove_repeats(
     )
 
 
-def _all_spans(runs: DataFrame, length: int) -> DataFrame:
-    found = "part int, docs binary, starts binary, windows binary"
-    sorted_ = runs.where("bucket >= 0").groupBy("bucket").applyInArrow(_repeats(length), found)
-    local = runs.where("bucket < 0").select("part", "docs", "starts", F.col("sizes").alias("windows"))
-    return sorted_.union(local)
-
-
 def cut_repeats(docs: DataFrame, length: int, id_col="doc_id", text_col="text", size_col: str | None = None) -> DataFrame:
     """All rows and columns, the text without its repeats; characters that a cut broke are dropped.
 

@@ -77,6 +77,34 @@ def test_suffix_dedup_equals_brute_force(docs, rows, monkeypatch, hot):
     assert got == want
 
 
+def test_a_line_of_many_unlike_texts_sends_little_text(spark, monkeypatch):
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    line, passage = letters(80), letters(400)
+    texts = [(i, letters(300) + line + letters(300)) for i in range(60)]
+    texts += [(60 + i, letters(90) + passage[:200] + line + passage[200:] + letters(90)) for i in range(3)]
+    texts += [(70 + i, line) for i in range(3)] + [(80, None), (None, line), texts[1]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "HOT_PARTS", 0)
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 0, raising=False)
+    want = Counter((i, t or "", *brute_repeats(texts, 200)[i, (t or "").encode()]) for i, t in texts)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, 200).collect())
+    assert got == Counter((k[0], *k[2:]) for k in want.elements())
+    assert sum(r.n_removed > 0 for r in suffix_dedup.remove_repeats(docs, 200).collect()) == 2
+
+    def sent(length):
+        def run(table):
+            size = sum(len(t) for t in table["texts"].to_pylist() if t is not None)
+            return pa.table({"part": pa.array([size], pa.int32()), **{c: pa.array([b""]) for c in ("docs", "starts", "windows")}})
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_repeats", sent)
+    spans = suffix_dedup._repeated_spans(docs, 200, "doc_id", "text")[1]
+    # the 281 windows of the passage, from each of three parts at most
+    assert spans.agg({"part": "sum"}).first()[0] <= 3 * 281 * 200
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(3)
     for trial in range(40):
