@@ -156,6 +156,42 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert {r.text for r in files.collect()} == {f"text {i}" for i in range(2 * few)}
 
 
+def _forks():
+    with open("/proc/stat") as stat:
+        return int(next(line for line in stat if line.startswith("processes")).split()[1])
+
+
+@pytest.mark.parametrize("folder_files", [1_000, 3])
+def test_corpus_files_need_no_processes_and_few_tasks(spark, tmp_path, monkeypatch, folder_files):
+    import workload
+    from tablewise.sources import tables
+
+    monkeypatch.setattr(tables, "FOLDER_FILES", folder_files, raising=False)
+    rows = [(i, f"<p>\r\n{i} é</p>" * (i % 4)) for i in range(400)] + [(7, "again"), (7, None), (900, None), (901, ""), (902, "é\n" * 40_000)]
+    table = spark.createDataFrame(rows, "page_id long, html string").repartition(5)
+    table.write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(1).mapInArrow(lambda batches: batches, "id long").count()
+    before = _forks()
+    read = workload.QUERIES["corpus_round_trip_pages"](spark, str(tmp_path))
+    assert _forks() - before < 400
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    # rows of one page are lines of its file, and the reader gives each line
+    assert sorted(tuple(r) for r in read.collect()) == sorted((i, len(html or "")) for i, html in rows)
+
+
+def test_corpus_files_hold_all_rows_of_a_name(spark, tmp_path):
+    from tablewise.sources.tables import read_corpus, write_corpus
+
+    rows = spark.createDataFrame([("a/b c%", "x"), ("é=1", "y\nz"), (None, "none"), ("", "empty"), (None, None)], "name string, text string")
+    write_corpus(rows, str(tmp_path / "some"), "name", "text")
+    files = {f.name: f.read_text() for f in (tmp_path / "some").rglob("*") if f.is_file()}
+    assert files == {"name=a%2Fb c%25.txt": "x\n", "name=%C3%A9%3D1.txt": "y\nz\n", "name=__HIVE_DEFAULT_PARTITION__.txt": "\nempty\nnone\n"}
+    write_corpus(rows.limit(0), f"file:{tmp_path}/none", "name", "text")
+    assert read_corpus(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(FileExistsError):
+        write_corpus(rows, str(tmp_path / "some"), "name", "text")
+
+
 def test_quantiles_of_a_scan_sort_few_slices(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=20_000).round(2), np.full(5_000, 0.5)])

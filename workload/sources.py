@@ -52,12 +52,10 @@ def _(t):
 
 @query("corpus_round_trip_pages", "SELECT page_id, length(html) AS n FROM pages")
 def _(t):
-    """One text file per page, read back as documents. Partition folders give one file each."""
+    """One text file per page, read back as documents."""
     path = f"{scratch(t)}/corpus"
     body = t.pages.select("page_id", F.translate("html", "\n\r", "  ").alias("value"))
-    # tasks move their own files into place; the driver would move one after the other
-    write = body.repartition("page_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2)
-    write.option("compression", "none").partitionBy("page_id").text(path)
+    tables.write_corpus(body, path, "page_id", "value")
     files = tables.read_corpus(t.spark, path)
     return files.select(
         F.regexp_extract("source", "page_id=([0-9]+)", 1).cast("long").alias("page_id"), F.length("text").cast("long").alias("n")
